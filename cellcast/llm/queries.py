@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellcast.llm import packing, quality_rules, url_filter, vector_topk
+from cellcast.llm import mixing, packing, quality_rules, toxicity, url_filter, vector_topk
 
 
 def tokenizer_path() -> str:
@@ -23,6 +24,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "text", F.col("mix_copy").cast("long").alias("copy"), F.round("mix_rate", 6).alias("rate"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,9 +64,35 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+ORACLE_MIXING = """
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+total AS (SELECT sum(sqrt(n)) AS w, sum(n) AS n FROM sizes),
+rates AS (SELECT source, sqrt(s.n) / t.w * t.n / s.n AS rate FROM sizes s, total t),
+parts AS (SELECT source, rate, CAST(greatest(1, ceil(rate / 16)) AS BIGINT) AS parts FROM rates),
+terms AS (
+  SELECT source, rate, parts, k, exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) AS p
+  FROM parts, range(0, 96) AS t(k)
+), laws AS (
+  SELECT source, rate, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
+), drawn AS (
+  SELECT d.doc_id, d.source, d.text, p.rate, j,
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT *, row_number() OVER () AS row_no FROM documents) d
+  JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(1, 1000) AS r(j)
+  WHERE j <= p.parts
+), counts AS (
+  SELECT d.doc_id, d.source, d.text, d.rate, d.j, count(l.k) AS n
+  FROM drawn d JOIN laws l ON d.source IS NOT DISTINCT FROM l.source AND l.c <= d.u
+  GROUP BY ALL
+), summed AS (SELECT doc_id, source, text, rate, sum(n) AS n FROM counts GROUP BY ALL)
+SELECT doc_id, source, text, CAST(c AS BIGINT) AS copy, round(rate, 6) AS rate
+FROM summed, range(1, 1000) AS r(c) WHERE c <= n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op6_packing, op9_quality_rules, op10_vector_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op5_source_mixing, op6_packing, op9_quality_rules, op10_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_vector_topk": ORACLE_TOPK}
+    return {"op5_source_mixing": ORACLE_MIXING, "op10_vector_topk": ORACLE_TOPK}
