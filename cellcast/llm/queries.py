@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import mixing, packing, quality_rules, toxicity, url_filter, vector_topk
+from cellcast.llm import mixing, ngram_join, packing, quality_rules, toxicity, url_filter, vector_topk
 
 
 def tokenizer_path() -> str:
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -91,7 +95,7 @@ FROM summed, range(1, 1000) AS r(c) WHERE c <= n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op5_source_mixing, op6_packing, op9_quality_rules, op10_vector_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op5_source_mixing, op6_packing, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
