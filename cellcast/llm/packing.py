@@ -17,8 +17,10 @@ packed once each; a null ``doc_id`` stays null; an empty table gives no sequence
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,66 +34,62 @@ SEQUENCE = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 BLOCK_TOKENS = 1 << 21
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 250_000
+#: Pieces whose ids a worker remembers in each of two generations.
+CACHE_PIECES = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Pieces(dict):
-    """Ids (little-endian unsigned 32-bit) of what the tokenizer's splitter yields."""
+    """Ids (little-endian unsigned 32-bit) of what the tokenizer's splitter yields.
+
+    Two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves back, so frequent pieces stay and memory is bounded.
+    """
 
     def __init__(self, model):
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.model = model
+        self.old: dict[str, bytes] = {}
         self.table = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        out = self.old.get(piece)
+        if out is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
+            out = array("I", [t.id for t in tokens]).tobytes()
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
-        out = self[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        self[piece] = out
         return out
 
 
-class WordIds(dict):
-    """Token ids of whole texts, equal to the tokenizer's, by remembering those of words.
+class WordIds:
+    """Token ids of whole texts, equal to the tokenizer's, by remembering those of pieces.
 
-    The vocabulary's normaliser and splitter never join characters across white space, so a
-    text's ids are its words' ids in order.  Words of plain Latin letters, digits and ASCII
-    punctuation are split here by the vocabulary's own pattern; any other word, and any text
-    that is not in normal form C, goes through the tokenizer as it is.
+    The vocabulary's splitter cuts a text into runs of letters, single digits, runs of other
+    characters and a few contractions, and each piece is encoded by itself.  Texts of ASCII and
+    Latin letters, where the splitter needs no Unicode tables, are cut here; any other text, and
+    any that is not in normal form C, goes through the tokenizer as it is.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = _Pieces(self.tokenizer.model)
-        self.plain = regex.compile(r"[!-;=?-~À-ÖØ-öø-ÿĀ-ſ]+").fullmatch
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if self.plain(word):
-            out = b"".join([self.pieces[p] for p in self.split("".join(c.lower() for c in word))])
-        else:
-            out = self.whole(word)
-        self[word] = out
-        return out
+        self.foreign = re.compile(r"[^\t\n\r -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]").search
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.foreign(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
 
 
 def cost(n: int) -> float:
