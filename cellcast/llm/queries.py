@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import mixing, ngram_join, packing, quality_rules, toxicity, url_filter, vector_topk
+from cellcast.llm import html_text, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity, url_filter, vector_topk
 
 
 def tokenizer_path() -> str:
@@ -29,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.col("mix_copy").cast("long").alias("copy"), F.round("mix_rate", 6).alias("rate"))
@@ -95,7 +103,7 @@ FROM summed, range(1, 1000) AS r(c) WHERE c <= n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op5_source_mixing, op6_packing, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_line_dedup, op4_html_text, op5_source_mixing, op6_packing, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
