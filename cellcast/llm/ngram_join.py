@@ -44,7 +44,9 @@ FREQUENT = 16
 MOST_FREQUENT = 1 << 22  # marked n-grams, so that the bitmap stays sparse
 TILE = 512
 ROUNDS = 2
+COARSE, FINE = 1, 4  # least bits for each n-gram in the two parity bitmaps
 
+PREFIXES = "doc_id long, n long, rare array<long>, often array<long>"
 _GROUP = 1 << 15
 
 
@@ -71,13 +73,13 @@ def ordered(own: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, int]
     return np.concatenate((own[~often], own[often])), int((~often).sum())
 
 
-def parity_bits(n: int) -> int:
-    return min(1 << 18, max(64, 1 << (8 * n - 1).bit_length()))
+def parity_bits(n: int, each: int) -> int:
+    return min(1 << 18, max(64, 1 << (each * n - 1).bit_length()))
 
 
-def parity_bitmap(own: np.ndarray) -> bytes:
+def parity_bitmap(own: np.ndarray, each: int) -> bytes:
     """One bit flipped for each n-gram; a wider bitmap folds to a narrower one by exclusive or."""
-    width = parity_bits(len(own))
+    width = parity_bits(len(own), each)
     bit = (mix(own) & np.uint64(width - 1)).astype(np.int64)
     odd = (np.bincount(bit, minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -87,29 +89,44 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def prefixes(marks_of, threshold: int, n: int, counting: bool):
-    """Arrow map from (doc_id, text) to what the join needs of each set."""
+def set_keys(n: int):
+    """Arrow map from (doc_id, text) to each set's size and a 128-bit hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(marks_of.value, np.uint8) if marks_of is not None else None
-        long_list = pa.list_(pa.int64())
         for batch in sliced(batches, "text"):
-            sets = shingle_sets(batch.column("text"), n)
-            rare, often, size, h1, h2 = [], [], [], [], []
-            for own in sets:
-                line, split = ordered(own, marks)
+            rows = []
+            for own in shingle_sets(batch.column("text"), n):
+                with np.errstate(over="ignore"):
+                    h1 = int(_signed(mix(own + np.uint64(len(own)))).sum())
+                    h2 = int(_signed(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))).sum())
+                rows.append((len(own), h1, h2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "n", "h1", "h2"])
+
+    return run
+
+
+def marked_rows(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
+    slot = mix(batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) & np.uint64((1 << SLOT_BITS) - 1)
+    return batch.filter(pa.array((marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+
+def prefixes(wanted, frequent, threshold: int, n: int):
+    """Prefix of each wanted document's set, in two lists: the frequent n-grams apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(wanted.value, np.uint8)
+        often = np.frombuffer(frequent.value, np.uint8) if frequent is not None else None
+        kind = pa.list_(pa.int64())
+        for batch in sliced(batches, "text"):
+            batch = marked_rows(batch, marks)
+            lists, size = ([], []), []
+            for own in shingle_sets(batch.column("text"), n):
+                line, split = ordered(own, often)
                 cut = prefix_length(len(own), threshold) if len(own) else 0
-                rare.append(_signed(line[: min(cut, split)]))
-                often.append(_signed(line[min(cut, split) : cut]))
+                lists[0].append(_signed(line[: min(cut, split)]))
+                lists[1].append(_signed(line[min(cut, split) : cut]))
                 size.append(len(own))
-                with np.errstate(over="ignore"):
-                    h1.append(int(_signed(mix(own + np.uint64(len(own)))).sum()))
-                    h2.append(int(_signed(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))).sum()))
-            if counting:
-                yield pa.RecordBatch.from_arrays([pa.array(rare, long_list)], names=["rare"])
-            else:
-                columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rare, long_list), pa.array(often, long_list)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, kind) for x in lists)], names=["doc_id", "n", "rare", "often"])
 
     return run
 
@@ -125,19 +142,28 @@ def bitmap_of(rows: DataFrame, column) -> bytearray:
     return out
 
 
+def parities(wanted, n: int):
+    """Parity bitmaps of the wanted documents: a coarse one and a fine one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(wanted.value, np.uint8)
+        for batch in sliced(batches, "text"):
+            batch = marked_rows(batch, marks)
+            sets = shingle_sets(batch.column("text"), n)
+            maps = [pa.array([parity_bitmap(s, each) for s in sets], pa.binary()) for each in (COARSE, FINE)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *maps], names=["doc_id", "coarse", "fine"])
+
+    return run
+
+
 def incidence(wanted, n: int):
-    """Sets and parity bitmaps of the documents whose slot is marked."""
+    """Rows of the matrix: the n-grams of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, np.uint8)
         for batch in sliced(batches, "text"):
-            slot = mix(batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) & np.uint64((1 << SLOT_BITS) - 1)
-            keep = np.flatnonzero((marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-            if len(keep):
-                part = batch.take(pa.array(keep))
-                sets = shingle_sets(part.column("text"), n)
-                columns = [part.column("doc_id"), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "parity", "grams"])
+            batch = marked_rows(batch, marks)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signed(s) for s in shingle_sets(batch.column("text"), n)], pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
     return run
 
@@ -176,7 +202,7 @@ def parity_filter(threshold: int):
     return run
 
 
-def tile_pairs(left: list, right: list, same: bool, threshold: int) -> list[tuple[int, int, int]]:
+def tile_product(left: list, right: list, same: bool, threshold: int) -> list[tuple[int, int, int, int]]:
     """Pairs of two tiles that lie in different components and that no bound rules out.
 
     A tile is a list of (doc_id, n, component, parity); its rows are stacked by bitmap width.
@@ -209,7 +235,7 @@ def tile_pairs(left: list, right: list, same: bool, threshold: int) -> list[tupl
                         part = slice(k, k + (1 << 16))
                         apart[part] = np.bitwise_count(x[s][i[part]] ^ y[j[part]]).sum(axis=1)
                     open_ = apart <= most_apart(na[s][i], nb[j], threshold)
-                    found += zip(ia[s][i][open_].tolist(), ib[j][open_].tolist(), apart[open_].tolist())
+                    found += zip(ia[s][i][open_].tolist(), ib[j][open_].tolist(), na[s][i][open_].tolist(), nb[j][open_].tolist())
     return found
 
 
@@ -221,9 +247,9 @@ def tiles(threshold: int):
         for row in zip(*(table.column(c).to_pylist() for c in ("side", "doc_id", "n", "component", "parity"))):
             sides[row[0]].append(row[1:])
         same = not sides[1]
-        found = tile_pairs(sides[0], sides[1], same, threshold)
-        pairs = [(min(a, b), max(a, b), d) for a, b, d in found if a != b]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()), "apart": pa.array([p[2] for p in pairs], pa.int64())})
+        found = tile_product(sides[0], sides[1], same, threshold)
+        pairs = {(a, b, na, nb) if a < b else (b, a, nb, na) for a, b, na, nb in found}
+        return pa.table({k: pa.array([p[at] for p in pairs], pa.int64()) for at, k in enumerate(("a", "b", "na", "nb"))})
 
     return run
 
@@ -262,12 +288,18 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, threshold: int = THRESHOLD, n: int = N):
         self.spark = tune(docs.sparkSession)
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+        self.known = self.docs.where("doc_id is not null")
         self.threshold, self.n = threshold, n
         self.shared = SharedTables(self.spark, "ngram-join")
 
-    def frequent_marks(self):
+    def marks(self, ids: DataFrame):
+        """Broadcast bitmap of document slots; a slot that others share only costs work."""
+        slots = ids.select("doc_id").distinct().mapInArrow(doc_slots, "slot long")
+        return self.spark.sparkContext.broadcast(bytes(bitmap_of(slots, F.col("slot"))))
+
+    def frequent(self, reps):
         """Bitmap of n-grams that many prefixes hold."""
-        grams = self.docs.mapInArrow(prefixes(None, self.threshold, self.n, True), "rare array<long>").select(F.explode("rare").alias("gram"))
+        grams = self.known.mapInArrow(prefixes(reps, None, self.threshold, self.n), PREFIXES).select(F.explode("rare").alias("gram"))
         often = self.shared.write(grams.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") >= FREQUENT), "frequent")
         limits = [FREQUENT << (2 * i) for i in range(16)]
         counts = often.agg(*[F.count(F.when(F.col("times") >= x, 1)).alias(str(x)) for x in limits]).first()
@@ -277,10 +309,32 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast(bytes(marks))
 
     def classes(self, sets: DataFrame) -> DataFrame:
-        """Every row's doc_id, set size and the smallest doc_id with an equal set."""
-        ids = sets.select("doc_id", "n", "h1", "h2").where("doc_id is not null and n > 0")
+        """Every row's doc_id and the smallest doc_id with an equal set."""
+        ids = sets.where("doc_id is not null and n > 0")
         first = ids.groupBy(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2")).agg(F.min("doc_id").alias("rep"))
-        return ids.join(first, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))).select("doc_id", "n", "rep")
+        return ids.join(first, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))).select("doc_id", "rep")
+
+    def blocks(self, reps, often) -> DataFrame:
+        """``gram``, ``doc_id``, ``n``: the columns that prefixes share, equal ones once.
+
+        Neighbouring n-grams of a passage are mostly shared by the same rows; a block is known by
+        its number of rows and two sums of their hashes, and one of each kind is kept.
+        """
+        rows = self.known.mapInArrow(prefixes(reps, often, self.threshold, self.n), PREFIXES)
+        rare = rows.select(F.explode("rare").alias("gram"), "doc_id", "n").withColumn("times", F.count("*").over(Window.partitionBy("gram"))).where("times > 1")
+        entries = self.shared.write(rare.select("gram", "doc_id", "n").unionByName(rows.select(F.explode("often").alias("gram"), "doc_id", "n")), "entries")
+        decimal = lambda seed: F.sum(F.xxhash64(F.lit(seed), "doc_id", "n").cast("decimal(20,0)"))
+        kinds = entries.groupBy("gram").agg(F.count("*").alias("rows"), decimal(1).alias("s1"), decimal(2).alias("s2")).where("rows > 1")
+        kept = kinds.groupBy("rows", "s1", "s2").agg(F.min("gram").alias("gram")).select("gram")
+        blocks = self.shared.write(entries.join(kept, "gram"), "blocks")
+        self.shared.drop("entries")
+        return blocks
+
+    def open_pairs(self, pairs: DataFrame, parity: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b, na, nb) that the fine parity bound leaves open."""
+        at = lambda side: parity.select(F.col("doc_id").alias(side), F.col("fine").alias(f"p{side}"))
+        full = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+        return self.shared.write(full.mapInArrow(parity_filter(self.threshold), "a long, b long, apart long"), name)
 
     def verified(self, pairs: DataFrame, grams: DataFrame, name: str) -> DataFrame:
         """The pairs that link, by the exact product."""
@@ -289,64 +343,53 @@ class JaccardJoin:
         full = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ga", "gb")
         return self.shared.write(full.mapInArrow(product(self.threshold), "a long, b long, linked boolean").where("linked").select("a", "b"), name)
 
-    def settle(self, pairs: DataFrame, grams: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    def settle(self, pairs: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Verify candidate pairs until none joins two components; (edges, components).
 
         Each round takes every row's nearest open pair; what a round has joined needs no product
         any more.  The last round takes all that is left.
         """
+        grams = done = None
         for turn in range(ROUNDS + 1):
             component = connected_components(edges, self.shared, f"{name}-{turn}")
-            if turn:
+            if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
-            at = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-            open_ = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart")
-            pairs = self.shared.write(open_, f"{name}-open-{turn}")
+            at = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
+            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart")
+            pairs = self.shared.write(pairs, f"{name}-open-{turn}")
             if pairs.isEmpty():
                 return edges, component
+            if grams is None:
+                ends = self.marks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+                grams = self.shared.write(self.known.mapInArrow(incidence(ends, self.n), "doc_id long, grams array<long>"), f"{name}-matrix")
+            done = pairs
             if turn < ROUNDS:
                 nearest = [pairs.groupBy(x).agg(F.min(F.struct("apart", y)).alias("best")).select(F.col(x).alias("x"), F.col(f"best.{y}").alias("y")) for x, y in (("a", "b"), ("b", "a"))]
-                chosen = nearest[0].unionByName(nearest[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                done = self.shared.write(chosen, f"{name}-chosen-{turn}")
-            else:
-                done = pairs
+                done = self.shared.write(nearest[0].unionByName(nearest[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-chosen-{turn}")
             edges = self.shared.write(edges.unionByName(self.verified(done, grams, f"{name}-links-{turn}")), f"{name}-edges-{turn}")
+        self.shared.drop(f"{name}-matrix")
         return edges, connected_components(edges, self.shared, f"{name}-end")
 
     def run(self) -> DataFrame:
         """Every row's ``doc_id``, ``n_shingles`` and ``component_id``."""
-        shared, threshold = self.shared, self.threshold
-        marks = self.frequent_marks()
-        sets = shared.write(self.docs.mapInArrow(prefixes(marks, threshold, self.n, False), "doc_id long, n long, h1 long, h2 long, rare array<long>, often array<long>"), "sets")
+        shared = self.shared
+        sets = shared.write(self.docs.mapInArrow(set_keys(self.n), "doc_id long, n long, h1 long, h2 long"), "sets")
         classes = shared.write(self.classes(sets), "classes")
-        reps = classes.where("doc_id = rep").select("doc_id").distinct()
-        rows = sets.join(reps, "doc_id", "left_semi")
-        rare = rows.select(F.explode("rare").alias("gram"), "doc_id", "n")
-        paired = self._shared_grams(rare)
-        blocks = shared.write(paired.unionByName(rows.select(F.explode("often").alias("gram"), "doc_id", "n")), "blocks")
-        wanted = bitmap_of(blocks.select("doc_id").distinct().mapInArrow(doc_slots, "slot long"), F.col("slot"))
-        held = self.docs.where("doc_id is not null").mapInArrow(incidence(self.spark.sparkContext.broadcast(bytes(wanted)), self.n), "doc_id long, parity binary, grams array<long>")
-        matrix = shared.write(held.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi"), "matrix")
-        parity = matrix.select("doc_id", "parity")
-        # links by equal sets: rows that repeat an id tie their classes together
+        reps = self.marks(classes.where("doc_id = rep"))
+        blocks = self.blocks(reps, self.frequent(reps))
+        held = self.marks(blocks)
+        parity = shared.write(self.known.mapInArrow(parities(held, self.n), "doc_id long, coarse binary, fine binary"), "parity")
+        # rows that repeat an id tie their classes together
         twice = classes.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
-        ties = classes.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        edges = shared.write(ties, "ties")
-        # first sweep: each row with the pivots of its blocks
-        edges, component = self.settle(self.pivot_pairs(blocks, parity), matrix, edges, "pivots")
-        # second sweep: all other pairs of a block across components
-        edges, component = self.settle(self.tile_candidates(blocks, parity, component), matrix, edges, "tiles")
+        edges = shared.write(classes.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ties")
+        # first sweep: each row with the pivots of its blocks; second: the rest, across components
+        edges, component = self.settle(self.pivot_pairs(blocks, parity), edges, "pivots")
+        edges, component = self.settle(self.tile_pairs(blocks, parity, component), edges, "tiles")
         own = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
         own = shared.write(own.groupBy("doc_id").agg(F.min("component").alias("component")), "components")
-        for name in ("classes", "blocks", "matrix"):
+        for name in ("classes", "blocks", "parity"):
             shared.drop(name)
-        sized = sets.select("doc_id", F.col("n").alias("n_shingles"))
-        return sized.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-    @staticmethod
-    def _shared_grams(rare: DataFrame) -> DataFrame:
-        """Only the entries whose n-gram another row holds too."""
-        return rare.withColumn("times", F.count("*").over(Window.partitionBy("gram"))).where("times > 1").select("gram", "doc_id", "n")
+        return sets.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def pivot_pairs(self, blocks: DataFrame, parity: DataFrame) -> DataFrame:
         """Pairs of each row with its blocks' smallest, largest and a hashed row, by the bounds."""
@@ -354,27 +397,56 @@ class JaccardJoin:
         pivots = blocks.groupBy("gram").agg(F.min(F.struct("doc_id", "n")).alias("p0"), F.max(F.struct("doc_id", "n")).alias("p1"), chosen.alias("p2"))
         each = pivots.select("gram", F.explode(F.array(*[F.struct(F.col(f"p{i}.doc_id").alias("p"), F.col(f"p{i}.n").alias("pn")) for i in range(3)])).alias("q")).select("gram", "q.p", "q.pn")
         size = (100 * F.least("n", "pn") >= self.threshold * F.greatest("n", "pn")) & (F.col("doc_id") != F.col("p"))
-        pairs = blocks.join(each, "gram").where(size)
         low = F.col("doc_id") < F.col("p")
-        pairs = pairs.select(F.when(low, F.col("doc_id")).otherwise(F.col("p")).alias("a"), F.when(low, F.col("p")).otherwise(F.col("doc_id")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
-        full = pairs.join(parity.select(F.col("doc_id").alias("a"), F.col("parity").alias("pa")), "a").join(parity.select(F.col("doc_id").alias("b"), F.col("parity").alias("pb")), "b")
-        return self.shared.write(full.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(parity_filter(self.threshold), "a long, b long, apart long"), "pivot-pairs")
+        pairs = blocks.join(each, "gram").where(size).select(F.when(low, F.col("doc_id")).otherwise(F.col("p")).alias("a"), F.when(low, F.col("p")).otherwise(F.col("doc_id")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(low, F.col("pn")).otherwise(F.col("n")).alias("nb"))
+        return self.open_pairs(pairs.distinct(), parity, "pivot-pairs")
 
-    def tile_candidates(self, blocks: DataFrame, parity: DataFrame, component: DataFrame) -> DataFrame:
+    def tile_pairs(self, blocks: DataFrame, parity: DataFrame, component: DataFrame) -> DataFrame:
         """Open pairs of all blocks that hold more than one component, tile by tile."""
         placed = blocks.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
         placed = self.shared.write(placed, "placed")
-        mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-        mixed = mixed.select("gram", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-        rows = placed.join(mixed, "gram").join(parity, "doc_id")
+        # blocks of two rows had their only pair in the first sweep
+        mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high and rows > 2")
+        mixed = mixed.select("gram", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+        rows = placed.join(mixed, "gram").join(parity.select("doc_id", F.col("coarse").alias("parity")), "doc_id")
         own = F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int")
-        # a row goes to the tile pairs (its own, j): as side 0 up to its own number, as side 1 after
+        # a row goes to the tile pairs of its own tile: as side 0 up to its own number, as side 1 after
         spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         keyed = spread.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n", "component", "parity")
-        found = keyed.groupBy("gram", "i", "j").applyInArrow(tiles(self.threshold), "a long, b long, apart long")
-        return self.shared.write(found.distinct(), "tile-pairs")
+        found = keyed.groupBy("gram", "i", "j").applyInArrow(tiles(self.threshold), "a long, b long, na long, nb long").distinct()
+        return self.open_pairs(found, parity, "tile-pairs")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``."""
     return JaccardJoin(docs, threshold, n).run()
+
+
+def representatives(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less those that link to a smaller doc_id.
+
+    Rows with a null ``doc_id`` stay; of rows that repeat a ``doc_id`` one stays.  A bitmap of
+    fixed size holds the documents to drop; only the few rows whose slot it marks are joined.
+    """
+    components = jaccard_components(docs, threshold, n).where("doc_id is not null")
+    shared = SharedTables(docs.sparkSession, "representatives")
+    counted = components.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    gone = shared.write(counted.where("component_id < doc_id or rows > 1").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("linked")), "gone")
+    slot = F.xxhash64(F.col("doc_id").cast("long"))
+    marks = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(gone, F.xxhash64("doc_id"))))
+
+    def chosen(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(marks.value, np.uint8)
+            for batch in batches:
+                at = batch.column("_slot").to_numpy().view(np.uint64) & np.uint64((1 << SLOT_BITS) - 1)
+                own = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                own &= ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(own == want)).drop_columns(["_slot"])
+
+        return run
+
+    placed = docs.withColumn("_slot", slot)
+    listed = placed.mapInArrow(chosen(True), docs.schema).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left").where("_gone is null or not linked")
+    one = listed.withColumn("_turn", F.when(F.col("_gone").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))).where("_turn = 1")
+    return placed.mapInArrow(chosen(False), docs.schema).unionByName(one.select(*docs.columns))
