@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cellcast.llm.common import _INV, _POW, SharedTables, Words, _powers, mix, sliced, tune
 from cellcast.llm.ngram_join import SLOT_BITS, bitmap_of
@@ -177,7 +178,9 @@ def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = {d["line"] for d in drops or () if own.get(d["line"]) == d["h"]}
             texts.append("\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone) if gone else text)
             dropped.append(len(gone))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), _counts(lines, column), pa.array(dropped, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "drops")}
+        made = {"text": pa.array(texts, pa.string()), "n_lines": _counts(lines, column), "n_dropped": pa.array(dropped, pa.int64())}
+        yield pa.RecordBatch.from_pydict(rest | made)
 
 
 def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(batch.column("text"))
         breaks = np.searchsorted(np.flatnonzero(words.data == 10), words.offsets)
         n = pa.array(np.where(batch.column("text").is_null().to_numpy(zero_copy_only=False), 0, np.diff(breaks) + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), n, pa.array(np.zeros(batch.num_rows, np.int64))], names=["doc_id", "text", "n_lines", "n_dropped"])
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | {"n_lines": n, "n_dropped": pa.array(np.zeros(batch.num_rows, np.int64))})
 
 
 def _counts(lines: Lines, column: pa.Array) -> pa.Array:
@@ -229,29 +232,37 @@ def duplicate_lines(docs: DataFrame, shared: SharedTables) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs``: ``doc_id``, ``text`` without its dropped lines, ``n_lines``, ``n_dropped``.
+    """The columns of ``docs``, with ``text`` less its dropped lines, and ``n_lines``, ``n_dropped``.
 
-    Documents that lose nothing are read and returned without a shuffle.
+    ``n_lines`` and ``n_dropped`` take the place of columns so named.  Documents that lose nothing
+    are read and returned without a shuffle.
     """
     spark = tune(docs.sparkSession)
     shared = SharedTables(spark, "line-dedup")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    drops = duplicate_lines(texts, shared)
-    slot = lambda: F.xxhash64("doc_id")
-    marks = spark.sparkContext.broadcast(bytes(bitmap_of(drops.select("doc_id").distinct(), slot())))
-    listed = drops.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("drops"))
+    docs = docs.drop("n_lines", "n_dropped").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    drops = duplicate_lines(docs.select("doc_id", "text"), shared)
+    marks = spark.sparkContext.broadcast(bytes(bitmap_of(drops.select("doc_id").distinct(), F.xxhash64("doc_id"))))
+    listed = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "h")).alias("drops"))
 
     def chosen(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(marks.value, np.uint8)
             for batch in batches:
-                own = marked(bits, batch.column("slot").to_numpy().view(np.uint64)) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(own == want)).select(["doc_id", "text"])
+                own = marked(bits, batch.column("_slot").to_numpy().view(np.uint64)) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(own == want)).drop_columns(["_slot"])
 
         return run
 
-    placed = texts.withColumn("slot", slot())
-    out = "doc_id long, text string, n_lines long, n_dropped long"
-    hit = placed.mapInArrow(chosen(True), "doc_id long, text string").join(listed, "doc_id", "left").mapInArrow(rebuild, out)
-    rest = placed.mapInArrow(chosen(False), "doc_id long, text string").mapInArrow(untouched, out)
-    return hit.unionByName(rest)
+    placed = docs.withColumn("_slot", F.xxhash64("doc_id"))
+    other = [f for f in docs.schema.fields if f.name != "text"]
+    counted = [StructField(c, LongType()) for c in ("n_lines", "n_dropped")]
+    order = [*docs.columns, "n_lines", "n_dropped"]
+    hit = placed.mapInArrow(chosen(True), docs.schema).drop("drops").join(listed, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(rebuild, StructType([*other, docs.schema["text"], *counted]))
+    rest = placed.mapInArrow(chosen(False), docs.schema).mapInArrow(untouched, StructType([*docs.schema.fields, *counted]))
+    return hit.select(*order).unionByName(rest.select(*order))
+
+
+def rows_without_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` less dropped lines; documents whose words are all dropped go, ``n_chars`` follows."""
+    kept = dedup_lines(docs).where("n_dropped = 0 or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else kept

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import html_text, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity, url_filter, vector_topk
+from cellcast.llm import html_text, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filter, vector_topk
 
 
 def tokenizer_path() -> str:
@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -103,7 +107,7 @@ FROM summed, range(1, 1000) AS r(c) WHERE c <= n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_line_dedup, op4_html_text, op5_source_mixing, op6_packing, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_line_dedup, op4_html_text, op5_source_mixing, op6_packing, op7_quality_classifier, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

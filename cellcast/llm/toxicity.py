@@ -250,6 +250,10 @@ def scorer(broadcast):
     return run
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
     """Score, verdict and significant passages (token ranges) of every row of ``docs``.
 
@@ -257,7 +261,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") ->
     that is broadcast has at most ``LEXICON`` tokens for each of five folds.
     """
     spark: SparkSession = tune(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs)
     model = spark.sparkContext.broadcast(train(texts, labels, target))
     held = texts.withColumn("held_out", F.coalesce(fold_of() == 0, F.lit(False)))
     return held.mapInArrow(scorer(model), SCHEMA)
+
+
+def clean_rows(docs: DataFrame, model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = model.value
+        for batch in sliced(batches, "text", 1 << 20):
+            keep = []
+            for text in batch.column("text").to_pylist():
+                words, parts = judge.scan(text)
+                keep.append(judge.score(len(words), parts) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
