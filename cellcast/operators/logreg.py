@@ -1,7 +1,9 @@
 """Logistic regression by full-batch gradient descent.
 
-One job an epoch: the weights are broadcast, each partition multiplies its Arrow batches in numpy
-and returns one row of sums, and the driver adds as many rows as there are partitions.
+The observations are packed once into cached blocks of ``BLOCK`` rows (one binary matrix each), so
+an epoch moves memory instead of values.  One job an epoch: the weights are broadcast, each
+partition multiplies its blocks in numpy and returns one row of sums, and the driver adds as many
+rows as there are partitions.  A lost block is packed again from its lineage.
 """
 
 from __future__ import annotations
@@ -28,8 +30,22 @@ def vectors(rows: DataFrame, names: list[str], label: str = "label") -> DataFram
     return rows.select(F.array(*[F.col(n).cast("double") for n in names]).alias("features"), F.col(label).cast("double").alias("label"))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+#: Rows of a block, and blocks of an Arrow batch.
+BLOCK, BATCH = 1_024, 8
+
+
+def pack(width: int):
+    """Arrow map from vectors to blocks: a row-major matrix and its labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
+            cuts = range(0, batch.num_rows, BLOCK)
+            matrices = [np.ascontiguousarray(x[i : i + BLOCK]).tobytes() for i in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(matrices, pa.binary()), pa.array([np.ascontiguousarray(y[i : i + BLOCK]).tobytes() for i in cuts], pa.binary())], names=["x", "y"])
+
+    return run
 
 
 def gradient(broadcast):
@@ -37,18 +53,18 @@ def gradient(broadcast):
         w = broadcast.value
         total, loss, count = np.zeros(len(w)), 0.0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = _matrix(batch.column("features"), len(w) - 1), batch.column("label").to_numpy()
-            z = x @ w[1:] + w[0]
-            small = np.exp(-np.abs(z))
-            p = np.where(z >= 0, 1 / (1 + small), small / (1 + small))
-            error = p - y
-            total[0] += error.sum()
-            total[1:] += x.T @ error
-            q = np.clip(p, 1e-15, 1 - 1e-15)
-            loss -= float((y * np.log(q) + (1 - y) * np.log(1 - q)).sum())
-            count += len(y)
+            for block, labels in zip(batch.column("x"), batch.column("y")):
+                y = np.frombuffer(labels.as_buffer(), np.float64)
+                x = np.frombuffer(block.as_buffer(), np.float64).reshape(len(y), len(w) - 1)
+                z = x @ w[1:] + w[0]
+                small = np.exp(-np.abs(z))
+                p = np.where(z >= 0, 1 / (1 + small), small / (1 + small))
+                error = p - y
+                total[0] += error.sum()
+                total[1:] += error @ x
+                q = np.clip(p, 1e-15, 1 - 1e-15)
+                loss -= float((y * np.log(q) + (1 - y) * np.log(1 - q)).sum())
+                count += len(y)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([loss]), pa.array([count])], names=["gradient", "loss", "count"])
 
@@ -64,7 +80,11 @@ def train(rows: DataFrame, names: list[str], epochs: int = 50, rate: float = 0.0
     rate = rate if rate > 0 else 0.05
     ridge = max(ridge, 0.0)
     spark = rows.sparkSession
-    data = vectors(rows, names, label).persist(StorageLevel.MEMORY_AND_DISK)
+    data = vectors(rows, names, label).mapInArrow(pack(len(names)), "x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    data.count()
+    spark.conf.set(limit, str(BATCH))
     weights = np.zeros(len(names) + 1)
     fit = Fit(weights.tolist())
     started = time.time()
@@ -82,6 +102,7 @@ def train(rows: DataFrame, names: list[str], epochs: int = 50, rate: float = 0.0
             if epoch == 1 or epoch == epochs or epoch % 5 == 0:
                 fit.history.append({"epoch": epoch, "log_loss": sum(p["loss"] for p in parts) / count, "elapsed_seconds": time.time() - started})
     finally:
+        spark.conf.set(limit, before)
         data.unpersist()
     fit.weights = weights.tolist()
     return fit
