@@ -55,7 +55,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select(*[F.round(c, 6).alias(c) if c.startswith("share_") else F.col(c) for c in judged.columns])
 
 
 def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +107,79 @@ FROM summed, range(1, 1000) AS r(c) WHERE c <= n
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_NGRAM = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS grams FROM d
+), n AS (SELECT doc_id, len(grams) AS n FROM s),
+e AS (SELECT doc_id, unnest(grams) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT t.b, r.root FROM r JOIN both_ways t ON t.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
+ORACLE_LINES = f"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+l AS (SELECT doc_id, k, line, doc_id * 1000000 + k AS place, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+w AS (SELECT *, array_to_string(ws, ' ') AS words FROM l),
+f AS (SELECT words, any_value(ws) AS ws, min(place) AS place FROM w WHERE len(ws) >= {line_dedup.MIN_WORDS} GROUP BY words),
+long AS (SELECT * FROM f WHERE len(ws) >= {line_dedup.MIN_EDIT_WORDS}),
+p AS (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM long),
+v AS (SELECT words, place, pos, array_to_string(list_concat(ws[1:pos - 1], ws[pos + 1:]), ' ') AS rest FROM p),
+s AS (SELECT pos, rest, min(place) AS first FROM v GROUP BY ALL),
+near AS (
+  SELECT v.words FROM v JOIN s USING (pos, rest) WHERE s.first < v.place
+  UNION SELECT v.words FROM v JOIN long ON long.words = v.rest WHERE long.place < v.place
+  UNION SELECT long.words FROM v JOIN long ON long.words = v.rest WHERE v.place < long.place
+), j AS (
+  SELECT w.doc_id, w.k, w.line, coalesce(near.words IS NOT NULL OR f.place <> w.place, FALSE) AND f.words IS NOT NULL AS gone
+  FROM w LEFT JOIN f ON f.words = w.words LEFT JOIN near ON near.words = w.words
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
+FROM j GROUP BY doc_id
+"""
+
+
+def _oracle_rules() -> str:
+    limits = quality_rules.COVERAGE_LIMITS
+    lengths = sorted({*limits, quality_rules.WINDOW})
+    grams = ", ".join(
+        f"g{n} AS (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM d, range(1, 100000) AS t(i) WHERE i <= len(ws) - {n - 1}), "
+        f"t{n} AS (SELECT doc_id, g FROM g{n} GROUP BY ALL HAVING count(*) > 1), "
+        f"c{n} AS (SELECT DISTINCT doc_id, i + k AS i FROM g{n} JOIN t{n} USING (doc_id, g), range({n}) AS u(k)), "
+        f"m{n} AS (SELECT doc_id, count(*) AS n, sum(length(ws[i])) AS chars FROM c{n} JOIN d USING (doc_id) GROUP BY ALL)"
+        for n in lengths
+    )
+    joins = " ".join(f"LEFT JOIN m{n} ON m{n}.doc_id = d.doc_id" for n in lengths)
+    shares = ", ".join(f"coalesce(m{n}.chars, 0) / greatest(word_chars, 1) AS share_{n}" for n in limits)
+    kept = " AND ".join(f"share_{n} <= {limit}" for n, limit in limits.items())
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), {grams}, lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+again AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS turn FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars FROM again WHERE turn > 1 GROUP BY ALL),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+x AS (SELECT d.doc_id, n_words, word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(m{quality_rules.WINDOW}.n, 0) AS n_repeat_words, {shares},
+  coalesce(dup.chars, 0) / greatest(word_chars, 1) AS share_lines FROM d JOIN b ON b.doc_id = d.doc_id LEFT JOIN dup ON dup.doc_id = d.doc_id {joins}),
+y AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND share_lines <= {quality_rules.LINE_LIMIT} AND n_symbols <= {quality_rules.SYMBOL_LIMIT} * n_words AND {kept} AS kept,
+  {', '.join(f'round(share_{n}, 6) AS share_{n}' for n in limits)}, round(share_lines, 6) AS share_lines
+FROM y
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_line_dedup, op4_html_text, op5_source_mixing, op6_packing, op7_quality_classifier, op8_ngram_join, op9_quality_rules, op10_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": ORACLE_MIXING, "op10_vector_topk": ORACLE_TOPK}
+    return {"op3_line_dedup": ORACLE_LINES, "op5_source_mixing": ORACLE_MIXING, "op8_ngram_join": ORACLE_NGRAM, "op9_quality_rules": _oracle_rules(), "op10_vector_topk": ORACLE_TOPK}
