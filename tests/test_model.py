@@ -172,3 +172,22 @@ def test_reports(spark):
     assert [(r.speedup, r.efficiency) for r in report.speedup(runs).orderBy("workers").collect()] == [(1.0, 1.0), (2.0, 1.0), (2.5, 0.625)]
     samples = spark.createDataFrame([("a", 2, "3%"), ("a", 1, "NA"), ("b", 1, "5%")], "name string, timestamp int, cpu_percent string")
     assert {r.name: r.cpu_series for r in report.cpu_series(samples).collect()} == {"a": [None, 3.0], "b": [5.0]}
+
+
+def test_workflow_from_file_to_predictions(spark, tmp_path):
+    from cellcast.plans import workflow
+
+    lines = ["Date,Primary Type,District,Community Area,Arrest,Domestic"]
+    for day in range(70):
+        stamp = dt.datetime(2025, 11, 3) + dt.timedelta(days=day, hours=day % 24)
+        for area in (1, 2):
+            lines.append(f"{stamp:%m/%d/%Y %I:%M:%S %p},{('ROBBERY', 'THEFT', 'BURGLARY')[(day + area) % 3]},{area},{area},true,false")
+    (tmp_path / "in.csv").write_text("\n".join(lines))
+    report = workflow.run(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), train_until=2025, min_year=2020, negative_ratio=3, epochs=3)
+    assert report["loader"]["valid_rows"] == 140 and report["history"][0]["log_loss"] == pytest.approx(math.log(2))
+    info = report["target_info"]
+    assert info["candidate_cells"] == 9 * 2 * 168 and info["kept_negative_cells"] < info["negative_cells"]
+    assert report["train_metrics"]["samples"] + report["test_metrics"]["samples"] == info["positive_cells"] + info["kept_negative_cells"]
+    assert len(tables.load_model(str(tmp_path / "out/model.json")).weights) == 162
+    shown = spark.read.option("header", True).csv(str(tmp_path / "out/predictions"))
+    assert shown.count() == report["test_metrics"]["samples"] and shown.columns[6] == "risk_score_estimated"
