@@ -9,7 +9,7 @@ product is computed only where a bound leaves it open:
   marks them; any marking is exact, a good one keeps unrelated rows apart), then goes by hash.
 * size bound: the smaller set has at least ``threshold`` times the larger one's size.
 * parity bound: a bitmap of the set, where each n-gram flips one bit, differs in at most as many
-  bits as the sets differ in n-grams.  It is exact in one direction and an eighth of the set's size.
+  bits as the sets differ in n-grams.  It never rules out a link, and takes about a tenth of the set's room.
 
 Columns that rows share become blocks.  A first sweep multiplies each row only with a few pivots
 of its blocks, nearest first; rows that are then in one component need no further product, so a
@@ -44,19 +44,27 @@ FREQUENT = 16
 MOST_FREQUENT = 1 << 22  # marked n-grams, so that the bitmap stays sparse
 TILE = 512
 ROUNDS = 2
-COARSE, FINE = 1, 4  # least bits for each n-gram in the two parity bitmaps
+PARITY = 4  # least bits for each n-gram in a parity bitmap
+COARSE = 1024  # bits of the parity bitmap that tiles compare
 
 PREFIXES = "doc_id long, n long, rare array<long>, often array<long>"
 _GROUP = 1 << 15
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """Distinct hashed n-grams of each text, ascending."""
     words = Words(texts, lower=True)
+    grams = ngram_hashes(words.hash, n)
     out = []
-    for a, b in zip(words.first[:-1], words.first[1:]):
-        own = words.hash[a:b]
-        out.append(np.unique(ngram_hashes(own, n) if len(own) >= n else ngram_hashes(own, len(own)) if len(own) else own))
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        own = grams[a : b - n + 1] if b - a >= n else ngram_hashes(words.hash[a:b], b - a) if b > a else grams[:0]
+        own = np.sort(own)
+        if len(own) > 1:
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            own = own[fresh]
+        out.append(own)
     return out
 
 
@@ -73,13 +81,13 @@ def ordered(own: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, int]
     return np.concatenate((own[~often], own[often])), int((~often).sum())
 
 
-def parity_bits(n: int, each: int) -> int:
-    return min(1 << 18, max(64, 1 << (each * n - 1).bit_length()))
+def parity_bits(n: int) -> int:
+    return min(1 << 18, max(64, 1 << (PARITY * n - 1).bit_length()))
 
 
-def parity_bitmap(own: np.ndarray, each: int) -> bytes:
+def parity_bitmap(own: np.ndarray, width: int = 0) -> bytes:
     """One bit flipped for each n-gram; a wider bitmap folds to a narrower one by exclusive or."""
-    width = parity_bits(len(own), each)
+    width = width or parity_bits(len(own))
     bit = (mix(own) & np.uint64(width - 1)).astype(np.int64)
     odd = (np.bincount(bit, minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -94,13 +102,16 @@ def set_keys(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            rows = []
-            for own in shingle_sets(batch.column("text"), n):
+            sets = shingle_sets(batch.column("text"), n)
+            size = np.array([len(own) for own in sets])
+            some = np.flatnonzero(size)
+            keys = np.zeros((2, len(sets)), np.uint64)
+            if len(some):
+                flat, starts = np.concatenate(sets), np.cumsum(size[some]) - size[some]
                 with np.errstate(over="ignore"):
-                    h1 = int(_signed(mix(own + np.uint64(len(own)))).sum())
-                    h2 = int(_signed(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))).sum())
-                rows.append((len(own), h1, h2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "n", "h1", "h2"])
+                    keys[0, some] = np.add.reduceat(mix(flat + _SALT), starts)
+                    keys[1, some] = np.add.reduceat(mix(flat * _SALT), starts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(_signed(keys[0])), pa.array(_signed(keys[1]))], names=["doc_id", "n", "h1", "h2"])
 
     return run
 
@@ -143,15 +154,15 @@ def bitmap_of(rows: DataFrame, column) -> bytearray:
 
 
 def parities(wanted, n: int):
-    """Parity bitmaps of the wanted documents: a coarse one and a fine one."""
+    """Parity bitmaps of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, np.uint8)
         for batch in sliced(batches, "text"):
             batch = marked_rows(batch, marks)
             sets = shingle_sets(batch.column("text"), n)
-            maps = [pa.array([parity_bitmap(s, each) for s in sets], pa.binary()) for each in (COARSE, FINE)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *maps], names=["doc_id", "coarse", "fine"])
+            maps = [pa.array([parity_bitmap(s, width) for s in sets], pa.binary()) for width in (COARSE, 0)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *maps], names=["doc_id", "coarse", "parity"])
 
     return run
 
@@ -202,54 +213,81 @@ def parity_filter(threshold: int):
     return run
 
 
-def tile_product(left: list, right: list, same: bool, threshold: int) -> list[tuple[int, int, int, int]]:
-    """Pairs of two tiles that lie in different components and that no bound rules out.
+def _pairs_of(size: int, left: int, known: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Index pairs of a tile with itself (left = 0), or of its first ``left`` rows with the rest."""
+    if left:
+        i, j = np.divmod(np.arange(left * (size - left)), size - left)
+        return i, j + left
+    if size not in known:
+        known[size] = np.triu_indices(size, 1)
+    return known[size]
 
-    A tile is a list of (doc_id, n, component, parity); its rows are stacked by bitmap width.
-    """
 
-    def stacked(rows):
-        out: dict[int, list] = {}
-        for r in rows:
-            out.setdefault(len(r[3]) // 8, []).append(r)
-        return {w: (np.array([r[0] for r in g]), np.array([r[1] for r in g]), np.array([r[2] for r in g]), np.frombuffer(b"".join(r[3] for r in g), np.uint64).reshape(len(g), w)) for w, g in out.items()}
+def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray], grams: list, threshold: int) -> list[tuple[int, int, int, int]]:
+    """Pairs of rows in one tile pair that lie in different components and no bound rules out.
 
+    ``groups`` are (first row, number of rows, rows of side 0 or 0 for one tile).  A pair counts
+    only in the block with the smallest hash of all blocks that both of its rows are in.
+    """
+    parts = [_pairs_of(size, left) for _, size, left in groups]
+    shift = np.repeat([g[0] for g in groups], [len(p[0]) for p in parts])
+    i, j = np.concatenate([p[0] for p in parts]) + shift, np.concatenate([p[1] for p in parts]) + shift
+    n, c = rows["n"], rows["component"]
+    able = np.flatnonzero((c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])))
     found = []
-    a_side = stacked(left)
-    b_side = a_side if same else stacked(right)
-    for wa, (ia, na, ca, ba) in a_side.items():
-        for wb, (ib, nb, cb, bb) in b_side.items():
-            width = min(wa, wb)
-            x, y = fold(ba, width), fold(bb, width)
-            step = max(1, (1 << 20) // max(1, len(y) * width))
-            for at in range(0, len(x), step):
-                s = slice(at, at + step)
-                sizes = na[s, None], nb[None, :]
-                able = (ca[s, None] != cb[None, :]) & (100 * np.minimum(*sizes) >= threshold * np.maximum(*sizes))
-                if same:
-                    able &= ia[s, None] < ib[None, :]
-                i, j = np.nonzero(able)
-                if len(i):
-                    apart = np.zeros(len(i), np.int64)
-                    for k in range(0, len(i), 1 << 16):
-                        part = slice(k, k + (1 << 16))
-                        apart[part] = np.bitwise_count(x[s][i[part]] ^ y[j[part]]).sum(axis=1)
-                    open_ = apart <= most_apart(na[s][i], nb[j], threshold)
-                    found += zip(ia[s][i][open_].tolist(), ib[j][open_].tolist(), na[s][i][open_].tolist(), nb[j][open_].tolist())
+    for at in range(0, len(able), 1 << 16):
+        p, q = i[able[at : at + (1 << 16)]], j[able[at : at + (1 << 16)]]
+        apart = np.bitwise_count(rows["coarse"][p] ^ rows["coarse"][q]).sum(axis=1)
+        for m in np.flatnonzero(apart <= most_apart(n[p], n[q], threshold)):
+            u, v = int(p[m]), int(q[m])
+            if min(grams[u] & grams[v]) == rows["block"][u]:
+                found.append((int(rows["doc_id"][u]), int(rows["doc_id"][v]), int(n[u]), int(n[v])))
     return found
 
 
 def tiles(threshold: int):
-    """Grouped map over (gram, tile i, tile j): rows of side 0 against rows of side 1."""
+    """Arrow map over rows sorted by (gram, i, j, side): the open pairs of every tile pair.
 
-    def run(table: pa.Table) -> pa.Table:
-        sides: tuple[list, list] = ([], [])
-        for row in zip(*(table.column(c).to_pylist() for c in ("side", "doc_id", "n", "component", "parity"))):
-            sides[row[0]].append(row[1:])
-        same = not sides[1]
-        found = tile_product(sides[0], sides[1], same, threshold)
-        pairs = {(a, b, na, nb) if a < b else (b, a, nb, na) for a, b, na, nb in found}
-        return pa.table({k: pa.array([p[at] for p in pairs], pa.int64()) for at, k in enumerate(("a", "b", "na", "nb"))})
+    Only the rows of one tile pair (at most two tiles) are held beyond an Arrow batch.
+    """
+
+    def solve(batch: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        rows = {c: batch.column(c).to_numpy() for c in ("block", "side", "doc_id", "n", "component")}
+        rows["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        grams = [frozenset(g) for g in batch.column("grams").to_pylist()]
+        ends = np.append(starts[1:], batch.num_rows)
+        zeros = np.concatenate(([0], np.cumsum(rows["side"] == 0)))
+        groups = []
+        found: list = []
+        pending = 0
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            left = int(zeros[b] - zeros[a])
+            left = 0 if left == b - a else left
+            groups.append((a, b - a, left))
+            pending += (b - a) ** 2
+            if pending > 1 << 21:
+                found += tile_product(groups, rows, grams, threshold)
+                groups, pending = [], 0
+        if groups:
+            found += tile_product(groups, rows, grams, threshold)
+        pairs = [(a, b, na, nb) if a < b else (b, a, nb, na) for a, b, na, nb in found]
+        return pa.RecordBatch.from_arrays([pa.array([p[at] for p in pairs], pa.int64()) for at in range(4)], names=["a", "b", "na", "nb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            keys = [table.column(c).to_numpy() for c in ("gram", "i", "j")]
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield solve(table.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+            rest = table.slice(starts[-1]).combine_chunks().to_batches()
+        if rest:
+            yield solve(pa.Table.from_batches(rest).combine_chunks(), np.zeros(1, np.int64))
 
     return run
 
@@ -331,8 +369,8 @@ class JaccardJoin:
         return blocks
 
     def open_pairs(self, pairs: DataFrame, parity: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b, na, nb) that the fine parity bound leaves open."""
-        at = lambda side: parity.select(F.col("doc_id").alias(side), F.col("fine").alias(f"p{side}"))
+        """Pairs (a, b, na, nb) that the parity bound leaves open."""
+        at = lambda side: parity.select(F.col("doc_id").alias(side), F.col("parity").alias(f"p{side}"))
         full = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
         return self.shared.write(full.mapInArrow(parity_filter(self.threshold), "a long, b long, apart long"), name)
 
@@ -378,7 +416,7 @@ class JaccardJoin:
         reps = self.marks(classes.where("doc_id = rep"))
         blocks = self.blocks(reps, self.frequent(reps))
         held = self.marks(blocks)
-        parity = shared.write(self.known.mapInArrow(parities(held, self.n), "doc_id long, coarse binary, fine binary"), "parity")
+        parity = shared.write(self.known.mapInArrow(parities(held, self.n), "doc_id long, coarse binary, parity binary"), "parity")
         # rows that repeat an id tie their classes together
         twice = classes.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
         edges = shared.write(classes.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ties")
@@ -408,13 +446,18 @@ class JaccardJoin:
         # blocks of two rows had their only pair in the first sweep
         mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high and rows > 2")
         mixed = mixed.select("gram", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-        rows = placed.join(mixed, "gram").join(parity.select("doc_id", F.col("coarse").alias("parity")), "doc_id")
+        rows = self.shared.write(placed.join(mixed, "gram").withColumn("block", F.hash("gram")), "mixed")
+        grams = rows.groupBy("doc_id").agg(F.collect_list("block").alias("grams"))  # at most a prefix each
+        rows = rows.join(grams.join(parity.select("doc_id", "coarse"), "doc_id"), "doc_id")
         own = F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int")
         # a row goes to the tile pairs of its own tile: as side 0 up to its own number, as side 1 after
         spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        keyed = spread.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n", "component", "parity")
-        found = keyed.groupBy("gram", "i", "j").applyInArrow(tiles(self.threshold), "a long, b long, na long, nb long").distinct()
-        return self.open_pairs(found, parity, "tile-pairs")
+        keyed = spread.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "block", "doc_id", "n", "component", "coarse", "grams")
+        dealt = keyed.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side")
+        found = self.shared.write(dealt.mapInArrow(tiles(self.threshold), "a long, b long, na long, nb long"), "tile-found")
+        for name in ("placed", "mixed"):
+            self.shared.drop(name)
+        return self.open_pairs(found.distinct(), parity, "tile-pairs")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) -> DataFrame:
@@ -431,7 +474,7 @@ def representatives(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) ->
     components = jaccard_components(docs, threshold, n).where("doc_id is not null")
     shared = SharedTables(docs.sparkSession, "representatives")
     counted = components.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
-    gone = shared.write(counted.where("component_id < doc_id or rows > 1").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("linked")), "gone")
+    gone = shared.write(counted.where("component_id < doc_id or rows > 1").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("_linked")), "gone")
     slot = F.xxhash64(F.col("doc_id").cast("long"))
     marks = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(gone, F.xxhash64("doc_id"))))
 
@@ -447,6 +490,6 @@ def representatives(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) ->
         return run
 
     placed = docs.withColumn("_slot", slot)
-    listed = placed.mapInArrow(chosen(True), docs.schema).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left").where("_gone is null or not linked")
+    listed = placed.mapInArrow(chosen(True), docs.schema).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left").where("_gone is null or not _linked")
     one = listed.withColumn("_turn", F.when(F.col("_gone").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))).where("_turn = 1")
     return placed.mapInArrow(chosen(False), docs.schema).unionByName(one.select(*docs.columns))
