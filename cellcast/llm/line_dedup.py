@@ -120,17 +120,26 @@ def place_slot(doc: np.ndarray, line: np.ndarray, h: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.int64).view(np.uint64) + _SALT) + line.astype(np.uint64)) ^ h
 
 
-def place_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = batch.column("h").to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(place_slot(batch.column("doc_id").to_numpy(), batch.column("line").to_numpy(), h)))], names=["slot"])
-
-
 def marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
     slot = slot & np.uint64((1 << SLOT_BITS) - 1)
     return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def place_slots(partnered):
+    """Slots of the places of lines with a marked half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(partnered.value, np.uint8)
+        for batch in batches:
+            column = batch.column("halves")
+            hit = marked(marks, column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            some = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))]) > 0
+            slot = place_slot(batch.column("doc_id").to_numpy(), batch.column("line").to_numpy(), batch.column("h").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(slot[some]))], names=["slot"])
+
+    return run
+
+
 def neighbourhoods(places):
     """Variant keys and words of the lines whose place is marked."""
 
@@ -149,6 +158,24 @@ def neighbourhoods(places):
     return run
 
 
+def marked_keys(shared_keys):
+    """The keys of each line whose slot is marked, with their position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared_keys.value, np.uint8)
+        for batch in batches:
+            column = batch.column("keys")
+            size = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(marked(marks, flat.view(np.uint64)))
+            own = batch.select(["h", "g", "doc_id", "line"]).take(pa.array(row[hit]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pos[hit].astype(np.int32)), pa.array(flat[hit])], names=["h", "g", "doc_id", "line", "pos", "key"])
+
+    return run
+
+
 def within_one(a: list[str], b: list[str]) -> bool:
     """Whether the edit distance of two word lists is at most 1."""
     if abs(len(a) - len(b)) > 1:
@@ -172,13 +199,13 @@ def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(column)
         spans = np.searchsorted(lines.text, np.arange(batch.num_rows + 1))
         texts, dropped = [], []
-        for row, (text, drops) in enumerate(zip(column.to_pylist(), batch.column("drops").to_pylist())):
+        for row, (text, drops) in enumerate(zip(column.to_pylist(), batch.column("_drops").to_pylist())):
             a, b = spans[row], spans[row + 1]
             own = dict(zip(lines.number[a:b].tolist(), _signed(lines.h[a:b]).tolist()))
             gone = {d["line"] for d in drops or () if own.get(d["line"]) == d["h"]}
             texts.append("\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone) if gone else text)
             dropped.append(len(gone))
-        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "drops")}
+        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "_drops")}
         made = {"text": pa.array(texts, pa.string()), "n_lines": _counts(lines, column), "n_dropped": pa.array(dropped, pa.int64())}
         yield pa.RecordBatch.from_pydict(rest | made)
 
@@ -202,16 +229,20 @@ def duplicate_lines(docs: DataFrame, shared: SharedTables) -> DataFrame:
     # the earliest place of every distinct line
     distinct = found.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves"))
     distinct = shared.write(distinct, "distinct")
-    # lines that share a half with another line, at their earliest place
+    # lines that share a half with another line, at their earliest place; a slot of the first
+    # bitmap that unlike halves share only adds lines to the join
     halves = distinct.select(F.explode("halves").alias("half"), "h")
-    common = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
-    partnered = halves.join(common, "half", "left_semi").select("h").distinct()
-    places = distinct.select("h", "place.doc_id", "place.line").join(partnered, "h", "left_semi")
-    marks = bitmap_of(places.mapInArrow(place_slots, "slot long"), F.col("slot"))
+    common = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    partnered = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(common, F.col("half"))))
+    slots = distinct.select("h", "place.doc_id", "place.line", "halves").mapInArrow(place_slots(partnered), "slot long")
+    marks = bitmap_of(slots, F.col("slot"))
     lines = known.mapInArrow(neighbourhoods(docs.sparkSession.sparkContext.broadcast(bytes(marks))), "h long, g long, doc_id long, line long, keys array<long>, words string")
     lines = shared.write(lines, "neighbourhoods")
-    # join equal variants: each group needs only its earliest member
-    keys = lines.select("h", "g", F.struct("doc_id", "line", "h", "g").alias("place"), F.posexplode("keys").alias("pos", "key"))
+    # join equal variants, of which most have no equal: each group needs only its earliest member
+    repeated = lines.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    shared_keys = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(repeated, F.col("key"))))
+    keys = lines.select("h", "g", "doc_id", "line", "keys").mapInArrow(marked_keys(shared_keys), "h long, g long, doc_id long, line long, pos int, key long")
+    keys = shared.write(keys, "keys").select("h", "g", F.struct("doc_id", "line", "h", "g").alias("place"), "pos", "key")
     whole = keys.where("pos = 0").groupBy("key").agg(F.min("place").alias("shorter"))
     replaced = keys.where("pos > 0").groupBy("key", "pos").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     first_longer = keys.where("pos > 0").groupBy("key").agg(F.min("place").alias("longer"))
@@ -226,7 +257,7 @@ def duplicate_lines(docs: DataFrame, shared: SharedTables) -> DataFrame:
     verdict = distinct.select("h", "g", "place", "times").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("times > 1 or near")
     drops = found.select("doc_id", "line", "h", "g").join(verdict, ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line") != F.col("place")))
     drops = shared.write(drops.select("doc_id", "line", "h").distinct(), "drops")
-    for name in ("lines", "distinct", "neighbourhoods"):
+    for name in ("lines", "distinct", "neighbourhoods", "keys"):
         shared.drop(name)
     return drops
 
@@ -242,7 +273,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     drops = duplicate_lines(docs.select("doc_id", "text"), shared)
     marks = spark.sparkContext.broadcast(bytes(bitmap_of(drops.select("doc_id").distinct(), F.xxhash64("doc_id"))))
-    listed = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "h")).alias("drops"))
+    listed = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "h")).alias("_drops"))
 
     def chosen(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +288,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     other = [f for f in docs.schema.fields if f.name != "text"]
     counted = [StructField(c, LongType()) for c in ("n_lines", "n_dropped")]
     order = [*docs.columns, "n_lines", "n_dropped"]
-    hit = placed.mapInArrow(chosen(True), docs.schema).drop("drops").join(listed, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(rebuild, StructType([*other, docs.schema["text"], *counted]))
+    hit = placed.mapInArrow(chosen(True), docs.schema).join(listed, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(rebuild, StructType([*other, docs.schema["text"], *counted]))
     rest = placed.mapInArrow(chosen(False), docs.schema).mapInArrow(untouched, StructType([*docs.schema.fields, *counted]))
     return hit.select(*order).unionByName(rest.select(*order))
 
