@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +35,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="cellcast-checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 class SharedTables:
     """Parquet tables below the folder that ``spark.checkpoint.dir`` names.
 
@@ -43,9 +54,7 @@ class SharedTables:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:  # only in tests and single-machine sessions
-            import tempfile
-
-            base = tempfile.gettempdir() + "/cellcast-checkpoints"
+            base = _own_folder()
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -209,3 +209,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     pieces = stages["packing"](spark, mixed, str(tmp_path))
     assert pieces.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == mixed.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_keep_extra_columns(spark, tmp_path):
+    rows = [(i, f"word{i} and some other words that make up a line {i}") for i in range(30)] + [(40, None), (None, "x"), (41, "")]
+    docs = table(spark, rows)
+    for name in ("linked", "drops", "n_lines", "label", "fold", "mix_copy", "component_id", "slot", "score"):
+        docs = docs.withColumn(name, F.lit("own"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(got.columns) == set(docs.columns), name
+        if name != "source mixing":
+            assert got.where("doc_id = 41 or doc_id is null").count() == 2, name
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
