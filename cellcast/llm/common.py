@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -15,7 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Python workers receive batches of at most this many rows and about this many bytes.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+
+def return_freed_memory() -> None:
+    """Let freed blocks go back to the system: workers live through many stages and tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POW = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
@@ -156,7 +164,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(acc)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``limit`` bytes of ``column``, or one row."""
     import pyarrow.compute as pc
 
@@ -170,3 +178,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
             j = max(i + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(i, j - i)
             i = j
+    return_freed_memory()

@@ -289,7 +289,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     counted = [StructField(c, LongType()) for c in ("n_lines", "n_dropped")]
     order = [*docs.columns, "n_lines", "n_dropped"]
     hit = placed.mapInArrow(chosen(True), docs.schema).join(listed, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").mapInArrow(rebuild, StructType([*other, docs.schema["text"], *counted]))
-    rest = placed.mapInArrow(chosen(False), docs.schema).mapInArrow(untouched, StructType([*docs.schema.fields, *counted]))
+    pick = chosen(False)
+    rest = placed.mapInArrow(lambda batches: untouched(pick(batches)), StructType([*docs.schema.fields, *counted]))  # one Python worker a task
     return hit.select(*order).unionByName(rest.select(*order))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellcast.llm.common import SharedTables, Words, mix, ngram_hashes, sliced, tune
+from cellcast.llm.common import SharedTables, Words, mix, ngram_hashes, return_freed_memory, sliced, tune
 from cellcast.llm.components import connected_components
 
 N = 5
@@ -223,7 +223,7 @@ def _pairs_of(size: int, left: int, known: dict = {}) -> tuple[np.ndarray, np.nd
     return known[size]
 
 
-def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray], grams: list, threshold: int) -> list[tuple[int, int, int, int]]:
+def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray], threshold: int) -> list[tuple[int, int, int, int]]:
     """Pairs of rows in one tile pair that lie in different components and no bound rules out.
 
     ``groups`` are (first row, number of rows, rows of side 0 or 0 for one tile).  A pair counts
@@ -232,15 +232,20 @@ def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray]
     parts = [_pairs_of(size, left) for _, size, left in groups]
     shift = np.repeat([g[0] for g in groups], [len(p[0]) for p in parts])
     i, j = np.concatenate([p[0] for p in parts]) + shift, np.concatenate([p[1] for p in parts]) + shift
-    n, c = rows["n"], rows["component"]
-    able = np.flatnonzero((c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])))
+    n, c, word, blocks, starts = (rows[k] for k in ("n", "component", "word", "blocks", "starts"))
     found = []
-    for at in range(0, len(able), 1 << 16):
-        p, q = i[able[at : at + (1 << 16)]], j[able[at : at + (1 << 16)]]
+    for at in range(0, len(i), 1 << 16):
+        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        np_, nq = n[p], n[q]
+        most = most_apart(np_, nq, threshold)
+        # cheapest bounds first: components, sizes, the bitmap folded to one word, the bitmap
+        able = np.flatnonzero((c[p] != c[q]) & (100 * np.minimum(np_, nq) >= threshold * np.maximum(np_, nq)) & (np.bitwise_count(word[p] ^ word[q]) <= most))
+        p, q, most = p[able], q[able], most[able]
         apart = np.bitwise_count(rows["coarse"][p] ^ rows["coarse"][q]).sum(axis=1)
-        for m in np.flatnonzero(apart <= most_apart(n[p], n[q], threshold)):
+        for m in np.flatnonzero(apart <= most):
             u, v = int(p[m]), int(q[m])
-            if min(grams[u] & grams[v]) == rows["block"][u]:
+            common = np.intersect1d(blocks[starts[u] : starts[u + 1]], blocks[starts[v] : starts[v + 1]])
+            if common[0] == rows["block"][u]:
                 found.append((int(rows["doc_id"][u]), int(rows["doc_id"][v]), int(n[u]), int(n[v])))
     return found
 
@@ -254,7 +259,10 @@ def tiles(threshold: int):
     def solve(batch: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         rows = {c: batch.column(c).to_numpy() for c in ("block", "side", "doc_id", "n", "component")}
         rows["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        grams = [frozenset(g) for g in batch.column("grams").to_pylist()]
+        rows["word"] = np.bitwise_xor.reduce(rows["coarse"], axis=1)
+        lists = batch.column("grams").combine_chunks()
+        rows["blocks"] = lists.flatten().to_numpy(zero_copy_only=False)
+        rows["starts"] = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         ends = np.append(starts[1:], batch.num_rows)
         zeros = np.concatenate(([0], np.cumsum(rows["side"] == 0)))
         groups = []
@@ -265,11 +273,11 @@ def tiles(threshold: int):
             left = 0 if left == b - a else left
             groups.append((a, b - a, left))
             pending += (b - a) ** 2
-            if pending > 1 << 21:
-                found += tile_product(groups, rows, grams, threshold)
+            if pending > 1 << 19:
+                found += tile_product(groups, rows, threshold)
                 groups, pending = [], 0
         if groups:
-            found += tile_product(groups, rows, grams, threshold)
+            found += tile_product(groups, rows, threshold)
         pairs = [(a, b, na, nb) if a < b else (b, a, nb, na) for a, b, na, nb in found]
         return pa.RecordBatch.from_arrays([pa.array([p[at] for p in pairs], pa.int64()) for at in range(4)], names=["a", "b", "na", "nb"])
 
@@ -288,6 +296,7 @@ def tiles(threshold: int):
             rest = table.slice(starts[-1]).combine_chunks().to_batches()
         if rest:
             yield solve(pa.Table.from_batches(rest).combine_chunks(), np.zeros(1, np.int64))
+        return_freed_memory()
 
     return run
 
