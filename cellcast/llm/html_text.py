@@ -303,7 +303,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
         elif part == "form":
             inner = f"<p>{sentence()}</p><label>{rng.choice(WORDS)}</label><input><button>Send</button>"
         elif part in ("side", "header"):
-            inner = rng.choice((f"<h3>{rng.choice(WORDS)}</h3><ul>{anchors(4)}</ul>", f"<p>{prose()}</p>", sentence(), f"<h2>{rng.choice(WORDS)}</h2><p>{sentence()}</p>", f"<div>{sentence()}</div>"))
+            inner = rng.choice((f"<h3>{rng.choice(WORDS)}</h3><ul>{anchors(4)}</ul>", f"<p>{prose()}</p>", sentence(), f"<h2>{rng.choice(WORDS)}</h2><p>{sentence()}</p>", f"<div>{sentence()}</div>", f"<{'h1' if part == 'header' else 'h4'}>{sentence(1, 3)}</{'h1' if part == 'header' else 'h4'}>"))
         else:
             inner = rng.choice((sentence(), prose(), f"<p>{prose()}</p>", f'&copy; {rng.choice(WORDS)} &middot; {sentence()}', f"<p>{sentence()}</p><a href='/'>{rng.choice(WORDS)}</a>"))
         return f"{start}{inner}</{tag}>"
@@ -316,7 +316,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
             return line
 
         body = [f"<h1>{keep(sentence(2, 8))}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
             pick = rng.random()
             if pick < 0.68:
                 body.append(f"<p>{keep(prose())}</p>")
@@ -357,7 +357,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
         whole = "".join(before) + inner + "".join(after)
         if rng.random() < 0.3:
             whole = f'<div class="{rng.choice(("wrapper", "container", "page", "site", "row", "layout", "app"))}">{whole}</div>'
-        pages.append((f"<!DOCTYPE html><html><head><title>{lines[0]}</title><style>p{{}}</style></head><body>{whole}</body></html>", lines))
+        pages.append((f"<!DOCTYPE html><html><head><title>{lines[0] if lines else ""}</title><style>p{{}}</style></head><body>{whole}</body></html>", lines))
     return pages
 
 
@@ -400,7 +400,7 @@ def beliefs(parent: np.ndarray, kinds: np.ndarray, levels: list[np.ndarray], una
 
 
 @functools.cache
-def trained(count: int = 1_000, rounds: int = 350, ridge: float = 2e-5, rate: float = 0.15) -> Model:
+def trained(count: int = 1_500, rounds: int = 400, ridge: float = 2e-5, rate: float = 0.15) -> Model:
     """Maximum likelihood: the gradient is what the model expects less what the labels show."""
     index: dict[str, int] = {}
     rows, cols, y, parent, kinds, depth = [], [], [], [], [], []
