@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.common import Words, sliced, tune
 from cellcast.llm.quality_rules import duplicate_lines, repeated_words
-from cellcast.llm.toxicity import FOLDS, fold_of, logistic
+from cellcast.llm.toxicity import fold_of, logistic
 
 MAX_LABELLED = 4_000
 POOL = 16_000

@@ -8,7 +8,6 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellcast.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from cellcast.llm.common import SharedTables
