@@ -126,7 +126,7 @@ def marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def place_slots(partnered):
-    """Slots of the places of lines with a marked half."""
+    """Places of lines with a marked half, with their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(partnered.value, np.uint8)
@@ -135,7 +135,8 @@ def place_slots(partnered):
             hit = marked(marks, column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             some = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))]) > 0
             slot = place_slot(batch.column("doc_id").to_numpy(), batch.column("line").to_numpy(), batch.column("h").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(slot[some]))], names=["slot"])
+            own = batch.select(["h", "g", "doc_id", "line"]).filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(_signed(slot[some]))], names=["h", "g", "doc_id", "line", "slot"])
 
     return run
 
@@ -234,10 +235,12 @@ def duplicate_lines(docs: DataFrame, shared: SharedTables) -> DataFrame:
     halves = distinct.select(F.explode("halves").alias("half"), "h")
     common = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     partnered = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(common, F.col("half"))))
-    slots = distinct.select("h", "place.doc_id", "place.line", "halves").mapInArrow(place_slots(partnered), "slot long")
-    marks = bitmap_of(slots, F.col("slot"))
+    places = distinct.select("h", "g", "place.doc_id", "place.line", "halves").mapInArrow(place_slots(partnered), "h long, g long, doc_id long, line long, slot long")
+    places = shared.write(places, "places")
+    marks = bitmap_of(places, F.col("slot"))
     lines = known.mapInArrow(neighbourhoods(docs.sparkSession.sparkContext.broadcast(bytes(marks))), "h long, g long, doc_id long, line long, keys array<long>, words string")
-    lines = shared.write(lines, "neighbourhoods")
+    # later copies share slots with marked places; only the earliest place may stand for a line
+    lines = shared.write(lines.join(places.drop("slot"), ["h", "g", "doc_id", "line"], "left_semi"), "neighbourhoods")
     # join equal variants, of which most have no equal: each group needs only its earliest member
     repeated = lines.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     shared_keys = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(repeated, F.col("key"))))
@@ -250,14 +253,14 @@ def duplicate_lines(docs: DataFrame, shared: SharedTables) -> DataFrame:
         keys.where("pos > 0").join(replaced.select("key", "pos", "first"), ["key", "pos"]).where("first < place").select("h", "g", F.col("first").alias("other"))
         .unionByName(keys.where("pos > 0").join(whole, "key").where("shorter < place").select("h", "g", F.col("shorter").alias("other")))
         .unionByName(keys.where("pos = 0").join(first_longer, "key").where("longer < place").select("h", "g", F.col("longer").alias("other")))
-    ).select("h", "g", F.col("other.h").alias("oh"), F.col("other.g").alias("og")).distinct()
+    ).select("h", "g", F.col("other.h").alias("oh"), F.col("other.g").alias("og")).where("h <> oh or g <> og").distinct()
     words = lines.select("h", "g", "words").groupBy("h", "g").agg(F.first("words").alias("words"))
     other = words.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("words").alias("other"))
     near = proposals.join(words, ["h", "g"]).join(other, ["oh", "og"]).select("h", "g", "words", "other").mapInArrow(verify, "h long, g long").distinct()
     verdict = distinct.select("h", "g", "place", "times").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").where("times > 1 or near")
     drops = found.select("doc_id", "line", "h", "g").join(verdict, ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line") != F.col("place")))
     drops = shared.write(drops.select("doc_id", "line", "h").distinct(), "drops")
-    for name in ("lines", "distinct", "neighbourhoods", "keys"):
+    for name in ("lines", "distinct", "places", "neighbourhoods", "keys"):
         shared.drop(name)
     return drops
 

@@ -163,6 +163,27 @@ def test_repeated_document_rows_keep_their_lines(spark):
     assert [r.doc_id for r in line_dedup.rows_without_duplicates(table(spark, [(1, same), (2, same), (3, "")])).orderBy("doc_id").collect()] == [1, 3]
 
 
+def test_later_copies_in_a_marked_slot(spark):
+    ids = np.arange(60_000)
+    slot = line_dedup.place_slot(ids, np.zeros(len(ids), np.int64), np.uint64(0)) & np.uint64((1 << line_dedup.SLOT_BITS) - 1)
+    order = np.argsort(slot, kind="stable")
+    pairs = [sorted(ids[order[k : k + 2]].tolist()) for k in np.flatnonzero(slot[order][1:] == slot[order][:-1])]
+    pairs = [(a, b) for a, b in pairs if b - a > 1][:8]  # places of two copies of one line in one slot
+    assert len(pairs) == 8
+    rows = []
+    for n, (a, b) in enumerate(pairs):
+        line = [f"l{n}x{k}" for k in range(10)]
+        apart = line[:5] + [f"o{n}x{k}" for k in range(5)]  # shares a half, is not near
+        near = [*line[:9], f"near{n}"]
+        rows += [(a, " ".join(line)), (b, " ".join(line)), (100_000 + n, " ".join(apart))]
+        if n % 2:  # between the two copies
+            rows.append((next(i for i in range(a + 1, b) if i not in {r[0] for r in rows}), " ".join(near)))
+    assert len({i for i, _ in rows}) == len(rows)
+    drop = brute_lines(rows)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {i: int((i, 0) in drop) for i, _ in rows}
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = rng.integers(-3, 4, size=(400, 6)) / 8 + rng.choice([0, 0.001], size=(400, 6))
