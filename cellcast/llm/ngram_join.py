@@ -227,7 +227,7 @@ def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray]
     """Pairs of rows in one tile pair that lie in different components and no bound rules out.
 
     ``groups`` are (first row, number of rows, rows of side 0 or 0 for one tile).  A pair counts
-    only in the block with the smallest hash of all blocks that both of its rows are in.
+    only in the block with the smallest n-gram of all blocks that both of its rows are in.
     """
     parts = [_pairs_of(size, left) for _, size, left in groups]
     shift = np.repeat([g[0] for g in groups], [len(p[0]) for p in parts])
@@ -245,7 +245,7 @@ def tile_product(groups: list[tuple[int, int, int]], rows: dict[str, np.ndarray]
         for m in np.flatnonzero(apart <= most):
             u, v = int(p[m]), int(q[m])
             common = np.intersect1d(blocks[starts[u] : starts[u + 1]], blocks[starts[v] : starts[v + 1]])
-            if common[0] == rows["block"][u]:
+            if common[0] == rows["gram"][u]:
                 found.append((int(rows["doc_id"][u]), int(rows["doc_id"][v]), int(n[u]), int(n[v])))
     return found
 
@@ -257,7 +257,7 @@ def tiles(threshold: int):
     """
 
     def solve(batch: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        rows = {c: batch.column(c).to_numpy() for c in ("block", "side", "doc_id", "n", "component")}
+        rows = {c: batch.column(c).to_numpy() for c in ("gram", "side", "doc_id", "n", "component")}
         rows["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         rows["word"] = np.bitwise_xor.reduce(rows["coarse"], axis=1)
         lists = batch.column("grams").combine_chunks()
@@ -455,13 +455,13 @@ class JaccardJoin:
         # blocks of two rows had their only pair in the first sweep
         mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high and rows > 2")
         mixed = mixed.select("gram", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-        rows = self.shared.write(placed.join(mixed, "gram").withColumn("block", F.hash("gram")), "mixed")
-        grams = rows.groupBy("doc_id").agg(F.collect_list("block").alias("grams"))  # at most a prefix each
+        rows = self.shared.write(placed.join(mixed, "gram"), "mixed")
+        grams = rows.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))  # at most a prefix each
         rows = rows.join(grams.join(parity.select("doc_id", "coarse"), "doc_id"), "doc_id")
         own = F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int")
         # a row goes to the tile pairs of its own tile: as side 0 up to its own number, as side 1 after
         spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        keyed = spread.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "block", "doc_id", "n", "component", "coarse", "grams")
+        keyed = spread.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n", "component", "coarse", "grams")
         dealt = keyed.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side")
         found = self.shared.write(dealt.mapInArrow(tiles(self.threshold), "a long, b long, na long, nb long"), "tile-found")
         for name in ("placed", "mixed"):

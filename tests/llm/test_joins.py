@@ -90,6 +90,20 @@ def test_ngram_components(spark, monkeypatch, seed, tile):
         assert n == (len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0)
 
 
+def test_blocks_of_equal_short_hash(spark):
+    short = spark.range(300_000).select(F.xxhash64("id").alias("id")).withColumn("h", F.hash("id"))
+    twin = short.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").orderBy("h").first()
+    both = short.where(F.col("h") > twin.h).agg(F.max("id")).first()[0]  # a block that rows 1 and 2 are both in
+    blocks = [(g, d, 8) for g, docs in ((twin.x, (1, 3, 4)), (twin.y, (2, 5, 6)), (both, (1, 2, 7))) for d in docs]
+    own = np.arange(8, dtype=np.uint64)
+    parity = [(d, ngram_join.parity_bitmap(own, ngram_join.COARSE), ngram_join.parity_bitmap(own)) for d in range(1, 8)]
+    join = ngram_join.JaccardJoin(table(spark, []))
+    got = join.tile_pairs(
+        spark.createDataFrame(blocks, "gram long, doc_id long, n long"), spark.createDataFrame(parity, "doc_id long, coarse binary, parity binary"), spark.createDataFrame([], "node long, component long")
+    )
+    assert {(r.a, r.b) for r in got.collect()} == {(1, 3), (1, 4), (3, 4), (2, 5), (2, 6), (5, 6), (1, 2), (1, 7), (2, 7)}
+
+
 def test_ngram_join_of_odd_tables(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f"), (None, "a b c d e f"), (4, None)]
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.jaccard_components(table(spark, rows)).collect())
