@@ -6,8 +6,9 @@ Both start from the labelled rows; in each round either view labels the unlabell
 most sure of, and these join the other view's training rows.  The views are then calibrated, and
 combined by a logistic model, on a training fold that neither has seen, and score all documents.
 
-Training reads labelled rows only where crc32(doc_id as text) mod 5 is not 0: at most
-``MAX_LABELLED`` of each class, and at most ``POOL`` unlabelled documents, by smallest hash.
+Training reads rows only where crc32(doc_id as text) mod 5 is not 0: of the labelled ones at most
+``MAX_LABELLED`` of each class, by smallest hash, and all unlabelled ones.  The executors score
+these in every round and move the surest ``SHARE`` of them; what comes back is sums.
 
 Defined results: null and empty texts have all-zero text features; null metadata is a value of its
 own; a null ``doc_id`` is never trained on nor held out; repeated rows get equal scores; labels of
@@ -17,6 +18,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcast.llm.common import Words, sliced, tune
+from cellcast.llm.common import SharedTables, Words, sliced, tune
 from cellcast.llm.quality_rules import duplicate_lines, repeated_words
 from cellcast.llm.toxicity import fold_of, logistic
 
 MAX_LABELLED = 4_000
-POOL = 16_000
 ROUNDS = 5
-EACH_ROUND = 400
+EACH_ROUND = 400  # least number of rows that a view labels in a round, half of each class
+SHARE = 1 / 80  # of all unlabelled rows, by class, view and round
+RIDGE = 3.0
+NEWTON = 20
+BINS = 250  # of a unit of logits
 SURE = 0.9
 CALIBRATION_FOLD = 4
 PRIOR = 0.5
@@ -82,10 +87,9 @@ def metadata_features(batch: pa.RecordBatch) -> np.ndarray:
 class View:
     """Standardised features (and their squares) with a logistic model."""
 
-    def __init__(self, x: np.ndarray):
-        x = self.wide(x)
-        self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.w = np.zeros(x.shape[1] + 1)
+    def __init__(self, mean: np.ndarray, std: np.ndarray):
+        self.mean, self.std = mean, std + 1e-6
+        self.w = np.zeros(len(mean) + 1)
 
     @staticmethod
     def wide(x: np.ndarray) -> np.ndarray:
@@ -95,7 +99,7 @@ class View:
         return np.clip((self.wide(x) - self.mean) / self.std, -8, 8)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        self.w = logistic(self.scaled(x), y, weight, ridge=3.0)
+        self.w = logistic(self.scaled(x), y, weight, ridge=RIDGE)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.scaled(x) @ self.w[:-1] + self.w[-1], -20, 20)
@@ -106,35 +110,150 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views of every row."""
     kind = pa.list_(pa.float64())
     for batch in sliced(batches, "text", 1 << 20):
         views = text_features(batch.column("text")), metadata_features(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("label"), *(pa.array(list(v), kind) for v in views)], names=["fold", "label", "text", "metadata"])
+        own = [batch.column(c) for c in ("doc_id", "held_out", "fold")]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), kind) for v in views)], names=["doc_id", "held_out", "fold", "text", "metadata"])
 
 
-def co_train(views: list[np.ndarray], fold: np.ndarray, label: np.ndarray, sizes: dict[int, int]):
-    """The two views after their rounds, and the weights that combine their logits."""
-    labelled = (label >= 0) & (fold != CALIBRATION_FOLD)
-    pool = np.flatnonzero(label < 0)
+def views_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("text", "metadata")]
+
+
+def summed(rows: DataFrame, measure) -> np.ndarray:
+    """The sum over all rows of what ``measure`` makes of a batch: one array for each task comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = measure(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = [np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()]
+    return np.sum(parts, axis=0)
+
+
+def moments(views: list[np.ndarray]) -> np.ndarray:
+    wide = [View.wide(x) for x in views]
+    return np.concatenate([[len(views[0])], *(f(x).sum(axis=0) for x in wide for f in (np.asarray, np.square))])
+
+
+def guesses(history: list, views: list[np.ndarray]) -> list[np.ndarray]:
+    """What the other view has told each view in the rounds so far: 1, 0, or -1 for nothing."""
+    told = [np.full(len(views[0]), -1) for _ in views]
+    for models, cuts in history:
+        for own, (model, x, (good, bad)) in enumerate(zip(models, views, cuts)):
+            z, other = model.logit(x), told[1 - own]
+            fresh = other < 0
+            other[fresh & (z >= good)] = 1
+            other[fresh & (z <= bad)] = 0
+    return told
+
+
+def sureness(history: list, models: list[View]):
+    """Counts of the logits of rows that the other view knows nothing of, by view."""
+
+    def measure(batch: pa.RecordBatch) -> np.ndarray:
+        views = views_of(batch)
+        told = guesses(history, views)
+        place = [np.rint(m.logit(x)[told[1 - own] < 0] * BINS).astype(int) + 20 * BINS for own, (m, x) in enumerate(zip(models, views))]
+        return np.concatenate([np.bincount(p, minlength=40 * BINS + 1) for p in place]).astype(float)
+
+    return measure
+
+
+def cuts_of(counts: np.ndarray, share: float) -> tuple[float, float]:
+    """Logits from which on (and down to which) a row is among the surest ``share`` rows of a class."""
+    least = np.log(SURE / (1 - SURE))
+    out = []
+    for each in (counts[::-1], counts):
+        at = int(np.searchsorted(np.cumsum(each), share))
+        out.append(max(20 - (at + 0.5) / BINS, least))
+    return out[0], -out[1]
+
+
+def told_rows(history: list):
+    """The rows that a view has been told about, with what."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                told = guesses(history, views_of(batch))
+                some = np.flatnonzero((told[0] >= 0) | (told[1] >= 0))
+                own = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(t[some].astype(np.int32)) for t in told)], names=["text", "metadata", "told0", "told1"])
+
+    return run
+
+
+def curvature(model: View, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Hessian and gradient of the log-loss at the model's weights."""
+    x = np.column_stack((model.scaled(x), np.ones(len(x))))
+    p = sigmoid(np.clip(x @ model.w, -30, 30))
+    return np.concatenate((((x * (weight * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (weight * (p - y))))
+
+
+def told_curvature(models: list[View]):
+    def measure(batch: pa.RecordBatch) -> np.ndarray:
+        out = []
+        for own, (model, x) in enumerate(zip(models, views_of(batch))):
+            told = batch.column(f"told{own}").to_numpy()
+            use = told >= 0
+            out.append(curvature(model, x[use], told[use].astype(float), np.full(use.sum(), 0.5)))
+        return np.concatenate(out)
+
+    return measure
+
+
+def refit(models: list[View], views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, told: DataFrame) -> None:
+    """Newton's method on the labelled rows (here) and the told rows (in the executors)."""
+    for _ in range(NEWTON):
+        far, at, moved = summed(told, told_curvature(models)), 0, 0.0
+        for model, x in zip(models, views):
+            d = len(model.w)
+            both = curvature(model, x, y, weight)
+            if np.ndim(far):
+                both, at = both + far[at : at + d * (d + 1)], at + d * (d + 1)
+            penalty = np.append(np.full(d - 1, RIDGE), 1e-6)
+            step = np.linalg.solve(both[: d * d].reshape(d, d) + np.diag(penalty), both[d * d :] + penalty * model.w)
+            model.w = model.w - np.clip(step, -5, 5)
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-4:
+            return
+
+
+def co_train(views: list[np.ndarray], fold: np.ndarray, label: np.ndarray, sizes: dict[int, int], pool: DataFrame, shared: SharedTables):
+    """The two views after their rounds, and the weights that combine their logits.
+
+    The labelled rows are here; ``pool`` has the views of all unlabelled rows, which the executors
+    score in every round.
+    """
+    labelled = fold != CALIBRATION_FOLD
     real = np.where(label == 1, sizes[1] / max((label == 1).sum(), 1), sizes[0] / max((label == 0).sum(), 1))
-    real = real / real[label >= 0].mean()
-    models = [View(x) for x in views]
-    guess = [np.full(len(label), -1) for _ in views]  # what the other view has told this one
-    for turn in range(ROUNDS + 1):
-        for own, (model, x) in enumerate(zip(models, views)):
-            told = guess[own] >= 0
-            use = np.flatnonzero(labelled | told)
-            model.fit(x[use], np.where(told[use], guess[own][use], label[use]).astype(float), np.where(told[use], 0.5, real[use]))
-        if turn == ROUNDS or not len(pool):
-            break
-        for own, (model, x) in enumerate(zip(models, views)):
-            p = sigmoid(model.logit(x[pool]))
-            other = guess[1 - own]
-            for value, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                best = best[(sure[best] >= SURE) & (other[pool[best]] < 0)][: EACH_ROUND // 2]
-                other[pool[best]] = value
-    held = np.flatnonzero((label >= 0) & (fold == CALIBRATION_FOLD))
+    real = real / real.mean()
+    far = summed(pool, lambda batch: moments(views_of(batch)))
+    total, n = moments(views) + far, int(far[0]) if np.ndim(far) else 0
+    models, at = [], 1
+    for x in views:
+        d = View.wide(x[:1]).shape[1]
+        mean, square = total[at : at + d] / total[0], total[at + d : at + 2 * d] / total[0]
+        models.append(View(mean, np.sqrt(np.maximum(square - mean**2, 0))))
+        models[-1].fit(x[labelled], label[labelled].astype(float), real[labelled])
+        at += 2 * d
+    share = max(EACH_ROUND // 2, n * SHARE)
+    history: list = []
+    for turn in range(ROUNDS if n else 0):
+        counts = summed(pool, sureness(history, models)).reshape(2, -1)
+        history.append((copy.deepcopy(models), [cuts_of(c, share) for c in counts]))
+        told = shared.write(pool.mapInArrow(told_rows(history), "text array<double>, metadata array<double>, told0 int, told1 int"), f"told-{turn}")
+        refit(models, [x[labelled] for x in views], label[labelled].astype(float), real[labelled], told)
+        shared.drop(f"told-{turn}")
+    held = np.flatnonzero(~labelled)
     z = np.column_stack([m.logit(x[held]) for m, x in zip(models, views)])
     y = label[held].astype(float)
     if len(set(y)) < 2:
@@ -144,35 +263,38 @@ def co_train(views: list[np.ndarray], fold: np.ndarray, label: np.ndarray, sizes
     return models, np.array(platt), logistic(calibrated, y, real[held], ridge=1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str):
+def train(rows: DataFrame, labels: DataFrame, target: str, shared: SharedTables):
+    """Co-training over ``rows``, the views of all documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     usable = known.where(fold_of() != 0)
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    hashed = F.xxhash64("doc_id")
-    chosen = docs.select("doc_id").where("doc_id is not null").where(fold_of() != 0).orderBy(hashed, "doc_id").limit(POOL).distinct().join(known, "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    for label in (0, 1):
-        chosen = chosen.unionByName(usable.where(F.col("label") == label).orderBy(hashed, "doc_id").limit(MAX_LABELLED))
-    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold_of().cast("int"))
-    got = rows.select("fold", "label", "text", "lang", "source", "n_chars").mapInArrow(gather, "fold int, label int, text array<double>, metadata array<double>").toPandas()
+    some = [usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for label in (0, 1)]
+    got = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("fold", "label", "text", "metadata").toPandas()
     if not {0, 1} <= set(got["label"]):
         return None
+    pool = rows.where("doc_id is not null and fold <> 0").join(known, "doc_id", "left_anti").select("text", "metadata")
+    pool = shared.write(pool, "pool")
     views = [np.stack(got[c].to_list()) for c in ("text", "metadata")]
-    return co_train(views, got["fold"].to_numpy(), got["label"].to_numpy(), sizes)
+    model = co_train(views, got["fold"].to_numpy(), got["label"].to_numpy(), sizes, pool, shared)
+    shared.drop("pool")
+    return model
 
 
 def scorer(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in batches:
             n = batch.num_rows
+            if not n:
+                continue
             if model is None:
                 each, score = [np.full(n, PRIOR)] * 2, np.full(n, PRIOR)
             else:
                 views, platt, mixed = model
-                x = text_features(batch.column("text")), metadata_features(batch)
+                x = views_of(batch)
                 z = [v.logit(f) * a + b for v, f, (a, b) in zip(views, x, platt)]
                 each, score = [sigmoid(v) for v in z], sigmoid(z[0] * mixed[0] + z[1] * mixed[1] + mixed[2])
             good = score >= 0.5
@@ -187,5 +309,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -
     spark = tune(docs.sparkSession)
     cast = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in cast.items()])
-    model = spark.sparkContext.broadcast(train(rows, labels, target))
-    return rows.withColumn("held_out", F.coalesce(fold_of() == 0, F.lit(False))).mapInArrow(scorer(model), SCHEMA)
+    rows = rows.withColumns({"held_out": F.coalesce(fold_of() == 0, F.lit(False)), "fold": fold_of().cast("int")})
+    shared = SharedTables(spark, "quality")
+    # the texts are read once; training and scoring read the views
+    rows = shared.write(rows.mapInArrow(gather, "doc_id long, held_out boolean, fold int, text array<double>, metadata array<double>"), "views")
+    model = spark.sparkContext.broadcast(train(rows, labels, target, shared))
+    return rows.mapInArrow(scorer(model), SCHEMA)

@@ -165,6 +165,16 @@ def test_quality_classifier(spark):
     assert quality_classifier.score_quality(docs(spark).unionByName(table), labels).count() == len(TEXTS) + 600
 
 
+def test_quality_exchange_sees_every_unlabelled_row(spark, monkeypatch):
+    table, labels, _ = corpus(spark)
+    some = labels.where("doc_id % 3 = 0")
+    scores = lambda: {r.doc_id: r.score for r in quality_classifier.score_quality(table, some).collect()}
+    whole = scores()
+    monkeypatch.setattr(quality_classifier, "POOL", 20, raising=False)  # a limit that must not exist
+    cut = scores()
+    assert max(abs(whole[i] - cut[i]) for i in whole) < 1e-6
+
+
 PAGES = [
     ("<html><body><nav><a href='/'>Home</a></nav><article><h1>Title here</h1><p>One &amp;  two.<p><b>Un.<br><p>Last one.</article><footer>(c) site</footer></body></html>", "Title here\nOne & two.\nUn.\nLast one."),
     ("<body><div class='ad'>Buy this now, it is cheap.</div><article><p>A first long paragraph of text with words.</p><script>var x='<p>no</p>';</script><p>Second.</p></article><!-- <p>c</p> --></body>", "A first long paragraph of text with words.\nSecond."),
