@@ -108,18 +108,34 @@ def decay_rate(weights: np.ndarray, rates: np.ndarray, step: float = STEP) -> fl
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Newton's method; the last coefficient is the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Newton's method with step halving; the last coefficient is the intercept.
+
+    The loss is convex and a step is only taken if it lowers it, so the result does not hang on
+    rounding: full steps alone swing between signs where a feature is wide and classes part well.
+    """
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(weight @ (np.logaddexp(0, z) - y * z) + penalty @ (v * v) / 2)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (weight * (p - y)) + penalty * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(hessian, slope)
+        least, size = float(slope @ step), 1.0
+        while (then := loss(w - size * step)) > now - 1e-4 * size * least and size > 1e-10:
+            size /= 2
+        if then >= now:
+            break
+        w, now = w - size * step, then
+        if least < 1e-10 * (1 + abs(now)):
             break
     return w
 

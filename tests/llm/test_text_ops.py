@@ -239,3 +239,21 @@ def test_poisson_inversion(spark, mean):
     average = sum(values) / 5000
     variance = sum((v - average) ** 2 for v in values) / 5000
     assert abs(average - mean) < 0.1 * max(1, mean**0.5) and abs(variance / mean - 1) < 0.12
+
+
+def test_logistic_fit_does_not_swing(spark):
+    """A wide feature beside narrow ones, and classes that part well: full Newton steps diverge."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    y = (rng.random(4_000) < 0.25).astype(float)
+    signal = np.where(y == 1, rng.gamma(4, 1, 4_000), rng.random(4_000) ** 8)
+    x = np.column_stack((np.expm1(signal * 1.1), rng.normal(5, 1.5, 4_000), signal))
+    weight = np.where(y == 1, 2.0, 6.0)
+    for _ in range(40):
+        pick = rng.integers(0, len(y), len(y))
+        w = toxicity.logistic(x[pick], y[pick], weight[pick])
+        p = 1 / (1 + np.exp(-np.clip(x[pick] @ w[:-1] + w[-1], -500, 500)))
+        slope = x[pick].T @ (weight[pick] * (p - y[pick])) + w[:-1]
+        assert np.abs(slope / np.abs(x[pick]).sum(axis=0)).max() < 1e-4
+        assert ((p >= 0.5) == y[pick]).mean() > 0.9
