@@ -148,7 +148,7 @@ def bitmap_of(rows: DataFrame, column) -> bytearray:
     # bit numbers inside a bitmap of the SQL function run from 0 to 32767 for inputs 1 to 32768
     found = rows.select((F.shiftright(slot, 15)).alias("part"), F.bitmap_bit_position(slot.bitwiseAND(F.lit(_GROUP - 1)) + 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = bytearray(1 << (SLOT_BITS - 3))
-    for row in found.toLocalIterator():  # at most 2048 bitmaps of 4 KB
+    for row in found.collect():  # at most 2048 bitmaps of 4 KB; an iterator would run a job for each partition
         out[row["part"] * (_GROUP // 8) : (row["part"] + 1) * (_GROUP // 8)] = row["bits"]
     return out
 

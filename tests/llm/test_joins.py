@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellcast.llm import line_dedup, ngram_join, vector_topk
+from cellcast.llm import line_dedup, ngram_join, queries, vector_topk
 from cellcast.llm.common import SharedTables
 from cellcast.llm.components import connected_components
 
+PLAIN = [f"plain{i}" for i in range(300)]
+VILE = [f"vile{i}" for i in range(12)]
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -120,8 +122,23 @@ def test_components(spark):
     for a, b in edges:
         if a is not None and a != b:
             u.join(a, b)
-    got = connected_components(spark.createDataFrame(edges, "a long, b long"), SharedTables(spark, "t"), "t").collect()
-    assert {r.node: r.component for r in got} == {n: u.find(n) for n in u.up}
+    for one_task in (1 << 20, 40, 0):  # by one task, by rounds over the cluster first, by rounds alone
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"), SharedTables(spark, "t"), "t", one_task).collect()
+        assert {r.node: r.component for r in got} == {n: u.find(n) for n in u.up}
+
+
+def test_toxicity_stage_keeps_what_the_query_predicts_clean(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(VILE if i % 7 == 0 and rng.random() < 0.4 else PLAIN) for _ in range(rng.randint(5, 90))) for i in range(700)]
+    texts += [None, "", texts[0], texts[1]]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(0, 700) if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    predicted = {r.doc_id: r.predicted for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, p in predicted.items() if not p)
+    assert {r.doc_id: r.text for r in kept} == {i: texts[i] for i, p in predicted.items() if not p}
+    assert sum(predicted[i] == (i % 7 == 0) for i in range(700)) > 660
 
 
 def distance(a, b):
