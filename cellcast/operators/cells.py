@@ -82,11 +82,13 @@ def city_dow_hour_totals(cells: DataFrame) -> DataFrame:
 
 
 def zones(cells: DataFrame) -> DataFrame:
-    return cells.select("district", "community_area").distinct()
+    """All zones, by district and area."""
+    return cells.select("district", "community_area").distinct().orderBy("district", "community_area")
 
 
 def weeks(cells: DataFrame) -> DataFrame:
-    return cells.select("week_start").distinct()
+    """All weeks, in order."""
+    return cells.select("week_start").distinct().orderBy("week_start")
 
 
 def loader_stats(parsed: DataFrame, min_year: int) -> DataFrame:

@@ -1,17 +1,21 @@
 """The 161 features of an observation, from one ordered list of specifications.
 
 All cell-level frames share one partitioning and order, so averages over 1 to 12 weeks cost one
-exchange and one sort.  Context averages are made on rollups of the dense cells and joined back.
+exchange and one sort.  Context averages are made on rollups of the cells themselves, which are far
+fewer than the rows of the dense grid; each key of a rollup is then filled to all weeks.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions import calendar
 from cellcast.functions.scalar import safe_ratio
-from cellcast.operators.grid import candidates, cell_window, dense_cells, labelled
+from cellcast.functions.calendar import week_index
+from cellcast.operators.grid import candidates, cell_window, dense_cells, every_week, labelled, slot_day, slot_hour
+from cellcast.operators.logreg import CodeTable
 from cellcast.schemas import CELL_KEYS
 
 DISTRICTS, AREAS = 25, 77
@@ -36,12 +40,19 @@ def with_averages(dense: DataFrame) -> DataFrame:
     return dense.withColumns(columns)
 
 
-def context_averages(dense: DataFrame, level: str) -> DataFrame:
-    """The averages of a rollup: one row for each week and key of the level."""
+def context_averages(cells: DataFrame, level: str) -> DataFrame:
+    """The averages of a rollup: one row for each observed week and key of the level."""
     keys, groups = CONTEXTS[level]
-    sums = dense.groupBy("week_no", *keys).agg(*[F.sum(COUNTER[g]).alias(COUNTER[g]) for g in groups])
+    sums = cells.groupBy("week_start", *keys).agg(*[F.sum(COUNTER[g]).alias(COUNTER[g]) for g in groups])
+    if "hour" in keys:  # every hour of the week, whether or not anything ever happened in it
+        slots = cells.sparkSession.range(168).select(slot_day(F.col("id")).alias("day_of_week"), slot_hour(F.col("id")).alias("hour"))
+    else:
+        slots = cells.select(*keys).distinct()
+    filled = every_week(cells, slots).drop("last_week").join(sums, ["week_start", *keys], "left")
+    filled = filled.select(week_index(F.col("week_start")).alias("week_no"), *keys, *[F.coalesce(COUNTER[g], F.lit(0).cast("long")).alias(COUNTER[g]) for g in groups])
     over = lambda n: Window.partitionBy(*keys).orderBy("week_no").rangeBetween(1 - n, 0)
-    return sums.select("week_no", *keys, *[(F.sum(COUNTER[g]).over(over(n)) / n).alias(_avg(g, n, level)) for g, frames in groups.items() for n in frames])
+    averages = [(F.sum(COUNTER[g]).over(over(n)) / n).alias(_avg(g, n, level)) for g, frames in groups.items() for n in frames]
+    return filled.select("week_no", *keys, *averages)
 
 
 def calendar_features(day: Column, hour: Column, month: Column, serving: bool = False) -> dict[str, Column]:
@@ -59,6 +70,36 @@ def one_hot_features(district: Column, area: Column) -> dict[str, Column]:
     return calendar.one_hot(district, "district_onehot", DISTRICTS) | calendar.one_hot(area, "community_area_onehot", AREAS)
 
 
+def code_tables(names: list[str], means: list[float], stds: list[float]) -> list[CodeTable]:
+    """The standardised features that follow from a code of an observation, for training.
+
+    Codes are the month and hour of the week, the district and the area; a district or area
+    outside its range has code 0, whose one-hots are all zero.
+    """
+    place = {n: i for i, n in enumerate(names)}
+    month, hour_of_week = np.divmod(np.arange(12 * 168), 168)
+    day, hour = np.divmod(hour_of_week, 24)
+    night, late = (hour >= 20) | (hour <= 5), (hour >= 18) | (hour <= 3)
+    calendar_values = {
+        "is_weekend": np.isin(day, (0, 6)), "is_night": night, "is_morning": (hour >= 6) & (hour <= 11), "is_afternoon": (hour >= 12) & (hour <= 17),
+        "is_evening": hour >= 18, "is_friday_saturday_night": np.isin(day, (5, 6)) & late,
+    }
+    for name, value, period in (("hour", hour, 24), ("day", day, 7), ("month", month + 1, 12)):
+        angle = value * (2 * np.pi) / period
+        calendar_values |= {f"{name}_sin": np.sin(angle), f"{name}_cos": np.cos(angle)}
+    week_code = (F.month("week_start") - 1) * 168 + F.col("day_of_week") * 24 + F.col("hour")
+    found = [(week_code, calendar_values)]
+    for column, size in (("district", DISTRICTS), ("community_area", AREAS)):
+        code = F.when(F.col(column).between(1, size), F.col(column)).otherwise(0)
+        found.append((code, {f"{column}_onehot_{i:02d}": np.arange(size + 1) == i for i in range(1, size + 1)}))
+    out = []
+    for code, values in found:
+        own = [n for n in values if n in place]
+        scaled = [(np.asarray(values[n], float) - (means[place[n]] or 0.0)) / (stds[place[n]] or 1.0) for n in own]
+        out.append(CodeTable(code, own, np.column_stack(scaled) if own else np.zeros((1, 0))))
+    return out
+
+
 def history_features() -> dict[str, Column]:
     """Features made of averages, in their fixed order."""
     a = lambda g, n, level="cell": F.col(_avg(g, n, level))
@@ -116,10 +157,9 @@ def feature_names() -> list[str]:
 
 def grid_with_context(cells: DataFrame, target_before: str | None = None) -> DataFrame:
     """Candidate rows with label, cell averages and context averages."""
-    dense = dense_cells(cells)
-    rows = candidates(labelled(with_averages(dense)), target_before)
+    rows = candidates(labelled(with_averages(dense_cells(cells))), target_before)
     for level, (keys, _) in CONTEXTS.items():
-        rows = rows.join(context_averages(dense, level), ["week_no", *keys])
+        rows = rows.join(context_averages(cells, level), ["week_no", *keys])
     return rows
 
 

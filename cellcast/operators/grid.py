@@ -18,13 +18,30 @@ from cellcast.schemas import CELL_KEYS, COUNTERS
 
 def dense_cells(cells: DataFrame) -> DataFrame:
     """All zones x weeks x weekdays x hours with zero counters where nothing happened."""
-    calendar = cell_ops.weeks(cells).agg(F.sort_array(F.collect_list("week_start")).alias("weeks"))
-    slots = cell_ops.zones(cells).join(F.broadcast(calendar))  # one row
-    slots = slots.select("district", "community_area", F.explode("weeks").alias("week_start"))
+    slots = every_week(cells, cells.select("district", "community_area").distinct())
     slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(167))).alias("slot"))
-    slots = slots.select("week_start", "district", "community_area", F.floor(F.col("slot") / 24).cast("int").alias("day_of_week"), (F.col("slot") % 24).cast("int").alias("hour"))
+    slots = slots.withColumns({"day_of_week": slot_day(F.col("slot")), "hour": slot_hour(F.col("slot"))})
     counted = slots.join(cells.select("week_start", *CELL_KEYS, *COUNTERS), ["week_start", *CELL_KEYS], "left")
-    return counted.select("week_start", *CELL_KEYS, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS], week_index(F.col("week_start")).alias("week_no"))
+    counters = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS]
+    return counted.select("week_start", *CELL_KEYS, *counters, week_index(F.col("week_start")).alias("week_no"), "last_week")
+
+
+def slot_day(slot):
+    return F.floor(slot / 24).cast("int")
+
+
+def slot_hour(slot):
+    return (slot % 24).cast("int")
+
+
+def every_week(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` in every observed week, with ``week_start`` and the ``last_week`` of all.
+
+    The weeks of the data are a calendar: one row with an array, whatever the number of cells.
+    """
+    weeks = cells.select("week_start").distinct().agg(F.sort_array(F.collect_list("week_start")).alias("weeks"))
+    placed = keys.join(F.broadcast(weeks))
+    return placed.select(*keys.columns, F.explode("weeks").alias("week_start"), F.array_max("weeks").alias("last_week"))
 
 
 def cell_window(first: int, last: int):
@@ -41,12 +58,11 @@ def labelled(dense: DataFrame) -> DataFrame:
 def candidates(grid: DataFrame, target_before: str | None = None) -> DataFrame:
     """Base weeks only: all but the last observed, with a target before the cutoff.
 
-    A blank or unreadable cutoff keeps all.
+    A blank or unreadable cutoff keeps all.  The grid says itself which week is the last.
     """
     from cellcast.functions.parsing import parse_week
 
-    last = grid.agg(F.max("week_start").alias("last_week"))
-    rows = grid.join(F.broadcast(last)).where("week_start < last_week").drop("last_week")
+    rows = grid.where("week_start < last_week").drop("last_week")
     if not (target_before or "").strip():
         return rows
     cutoff = parse_week(F.lit(target_before.strip()))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellcast.schemas import CELL_KEYS
-
-BUCKETS = 10_000
-
+from cellcast.schemas import CELL_KEYS, free_name
+from cellcast.sources.scratch import shared_folder
 
 def level_of(position: Column) -> Column:
     return F.when(position <= 0.10, "Alto").when(position <= 0.30, "Medio").otherwise("Bajo")
@@ -17,17 +15,26 @@ def level_of(position: Column) -> Column:
 def ranked(scored: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """``rank`` from 1 by falling score then keys, and ``risk_level`` by share of all rows.
 
-    Ranks are counted inside score buckets and shifted by the rows of the buckets above, of which
-    there are at most ``BUCKETS``; no task sorts the whole table.
+    Rows are dealt by ranges of score and keys, so that equal scores spread over tasks as well, and
+    sorted in their range.  They are written once to the shared folder with their place in it; a
+    rank is that place shifted by the rows of the ranges before, of which there are as many as
+    partitions.
     """
-    placed = scored.withColumn("_bucket", F.greatest(F.lit(0).cast("long"), F.least(F.floor(F.col(score) * BUCKETS), F.lit(BUCKETS - 1).cast("long"))))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_shift"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(score), *keys))
-    rows = placed.withColumn("_row", inside).join(F.broadcast(shifts), "_bucket")
-    rank = (F.col("_row") + F.col("_shift")).cast("long")
-    return rows.withColumns({"rank": rank, "risk_level": level_of(rank / F.col("_total"))}).drop("_bucket", "_row", "_shift", "_total")
+    spark = scored.sparkSession
+    place = free_name("place", scored.columns)
+    order = [F.desc(score), *keys]
+    dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    path = shared_folder(spark, "ranked")
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    part = F.shiftright(place, 33)  # the upper bits are the range, the lower ones the place in it
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    shifts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    found = rows.join(F.broadcast(shifts), part == shifts["part"])
+    rank = (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + shifts["shift"] + 1).cast("long")
+    own = [rows[c] for c in scored.columns if c not in ("rank", "risk_level")]
+    return found.select(*own, rank.alias("rank"), level_of(rank / shifts["total"]).alias("risk_level"))
 
 
 def top(scored: DataFrame, n: int, keys: list[str], score: str = "risk_score") -> DataFrame:

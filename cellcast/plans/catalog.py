@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions import calendar, parsing, scalar
@@ -75,7 +75,8 @@ def raw_rows(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("user_id") % 9
     number = F.when(n == 0, "1").when(n == 1, " 7 ").when(n == 2, "12.0").when(n == 3, "0.5").when(n == 4, "-3").when(n == 5, "").when(n == 6, "1e3").when(n == 7, "1.5e1").otherwise(F.col("user_id").cast("string"))
     words = F.array(*[F.lit(w) for w in ("true", "T", "1", "Yes", "y", "si", "sí", "no", "false", " TRUE ", "", "0")])
-    return e.select("event_id", date.alias("date"), number.alias("district"), F.lit("5").alias("community_area"), F.concat(F.lit(" "), F.lower("event_type")).alias("primary_type"), F.get(words, k.cast("int")).alias("arrest"), F.lit("false").alias("domestic"))
+    kind = F.when(F.col("event_type") == "error", "Homicide ").when(F.col("event_type") == "purchase", " burglary").when(F.col("event_type") == "signup", "WEAPONS violation").otherwise(F.concat(F.lit(" "), F.lower("event_type")))
+    return e.select("event_id", date.alias("date"), number.alias("district"), F.lit("5").alias("community_area"), kind.alias("primary_type"), F.get(words, k.cast("int")).alias("arrest"), F.lit("false").alias("domestic"))
 
 
 RAW_SQL = """raw AS (
@@ -84,7 +85,7 @@ RAW_SQL = """raw AS (
       WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:00' WHEN 8 THEN strftime(ts, '%Y-%m-%d') WHEN 9 THEN '02/30/2026 10:00:00 AM'
       WHEN 10 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE '  ' || strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
     CASE user_id % 9 WHEN 0 THEN '1' WHEN 1 THEN ' 7 ' WHEN 2 THEN '12.0' WHEN 3 THEN '0.5' WHEN 4 THEN '-3' WHEN 5 THEN '' WHEN 6 THEN '1e3' WHEN 7 THEN '1.5e1' ELSE CAST(user_id AS VARCHAR) END AS district,
-    upper(trim(event_type)) AS kind, ['true','T','1','Yes','y','si','sí','no','false',' TRUE ','','0'][event_id % 12 + 1] AS arrest
+    CASE event_type WHEN 'error' THEN 'HOMICIDE' WHEN 'purchase' THEN 'BURGLARY' WHEN 'signup' THEN 'WEAPONS VIOLATION' ELSE upper(event_type) END AS kind, ['true','T','1','Yes','y','si','sí','no','false',' TRUE ','','0'][event_id % 12 + 1] AS arrest
   FROM events), parsed AS (
   SELECT *, CASE WHEN event_id % 12 IN (9, 10) THEN NULL WHEN event_id % 12 = 8 THEN try_strptime(date, '%Y-%m-%d')
       WHEN date LIKE '%/%M' THEN try_strptime(date, '%m/%d/%Y %I:%M:%S %p') WHEN date LIKE '%/%' THEN try_strptime(date, '%m/%d/%Y %H:%M:%S')
@@ -110,7 +111,7 @@ def parse_flags(spark, d):
 
 
 @query(f"""WITH {RAW_SQL}, o AS (SELECT kind, CASE WHEN stamp IS NULL OR number IS NULL THEN 'invalid' WHEN year(stamp) < 2024 THEN 'filtered' ELSE 'valid' END AS outcome FROM parsed)
-SELECT count(*) AS total_rows, count(*) FILTER (outcome = 'valid') AS valid_rows, count(*) FILTER (outcome = 'invalid') AS invalid_rows, count(*) FILTER (outcome = 'filtered') AS filtered_rows, CAST(0 AS BIGINT) AS relevant_rows FROM o""")
+SELECT count(*) AS total_rows, count(*) FILTER (outcome = 'valid') AS valid_rows, count(*) FILTER (outcome = 'invalid') AS invalid_rows, count(*) FILTER (outcome = 'filtered') AS filtered_rows, count(*) FILTER (outcome = 'valid' AND kind IN ('HOMICIDE', 'BURGLARY', 'WEAPONS VIOLATION')) AS relevant_rows FROM o""")
 def row_outcomes(spark, d):
     return cell_ops.outcome_counts(cell_ops.parse_incidents(raw_rows(spark, d)), 2024)
 
@@ -159,11 +160,21 @@ def city_dow_hour_totals(spark, d):
     return cell_ops.city_dow_hour_totals(short(spark, d)).withColumn("week_start", day("week_start"))
 
 
-@query(f"{views.cells_sql(I1)} SELECT 'zone' AS kind, district || '/' || community_area AS value FROM (SELECT DISTINCT district, community_area FROM cells) UNION ALL SELECT 'week', strftime(week_start, '%Y-%m-%d') FROM (SELECT DISTINCT week_start FROM cells)")
+@query(
+    f"{views.cells_sql(I1)}, z AS (SELECT DISTINCT district, community_area FROM cells), w AS (SELECT DISTINCT week_start FROM cells) "
+    "SELECT 'zone' AS kind, district || '/' || community_area AS value, CAST(row_number() OVER (ORDER BY district, community_area) AS INTEGER) AS position FROM z "
+    "UNION ALL SELECT 'week', strftime(week_start, '%Y-%m-%d'), CAST(row_number() OVER (ORDER BY week_start) AS INTEGER) FROM w"
+)
 def zones_weeks(spark, d):
+    """Zones and weeks with the place at which the operators return them."""
     cells = short(spark, d)
-    zones = cell_ops.zones(cells).select(F.lit("zone").alias("kind"), F.concat_ws("/", "district", "community_area").alias("value"))
-    return zones.unionByName(cell_ops.weeks(cells).select(F.lit("week").alias("kind"), F.date_format("week_start", "yyyy-MM-dd").alias("value")))
+
+    def placed(rows: DataFrame, kind: str, value: Column) -> DataFrame:
+        own = rows.select(F.lit(kind).alias("kind"), value.alias("value")).withColumn("at", F.monotonically_increasing_id())
+        return own.select("kind", "value", F.row_number().over(Window.orderBy("at")).alias("position"))
+
+    zones = placed(cell_ops.zones(cells), "zone", F.concat_ws("/", "district", "community_area"))
+    return zones.unionByName(placed(cell_ops.weeks(cells), "week", F.date_format("week_start", "yyyy-MM-dd")))
 
 
 # grid, labels, features
@@ -343,7 +354,14 @@ def standardize_stats(spark, d):
 #: A few features, for queries that compare standardised values, scores and gradients row by row.
 SHORT = ["district_norm", "hour_sin", "is_weekend", "log_relevant_avg_4w", "log_zone_relevant_avg_4w", "relevant_ratio_4w"]
 WEIGHTS = [-1.5, 0.3, -0.2, 0.1, 0.8, 0.4, -0.3]
-_SCALED_SQL = f"{_FEATURES_SQL}, {_TRAIN}, st AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) < 1e-9 THEN 1.0 ELSE stddev_pop({n}) END AS s_{n}" for n in SHORT) + f" FROM train), z AS (SELECT week_start, target_week_start, {KEYS}, label, next_week_relevant_count, " + ", ".join(f"({n} - m_{n}) / s_{n} AS {n}" for n in SHORT) + " FROM o, st)"
+#: Only what these features need, made once: the engine would run a shared part for each use of it.
+_SHORT_SQL = f"""{views.grid_sql(I2)}, l AS (SELECT *, {_frame('relevant_count', 4)} AS relevant_4, {_frame('total_count', 4)} AS total_4 FROM labelled),
+zs AS (SELECT week_no, district, community_area, sum(relevant_count) AS relevant_count FROM dense GROUP BY ALL),
+zc AS (SELECT week_no, district, community_area, {_frame('relevant_count', 4, 'district, community_area')} AS zone_relevant_4 FROM zs),
+o AS MATERIALIZED (SELECT week_start, target_week_start, {KEYS}, CASE WHEN next_week_relevant_count > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+  next_week_relevant_count, {', '.join(f'{_all_features_sql()[n]} AS {n}' for n in SHORT)}
+  FROM l JOIN zc USING (week_no, district, community_area) WHERE week_start < (SELECT max(week_start) FROM cells))"""
+_SCALED_SQL = f"{_SHORT_SQL}, {_TRAIN}, st AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) < 1e-9 THEN 1.0 ELSE stddev_pop({n}) END AS s_{n}" for n in SHORT) + f" FROM train), z AS (SELECT week_start, target_week_start, {KEYS}, label, next_week_relevant_count, " + ", ".join(f"({n} - m_{n}) / s_{n} AS {n}" for n in SHORT) + " FROM o, st)"
 
 
 def scaled(spark, d) -> DataFrame:
@@ -358,6 +376,26 @@ def standardized_features(spark, d):
     return scaled(spark, d).select(day("week_start"), *CELL_KEYS, *[r6(F.col(n)).alias(n) for n in SHORT])
 
 
+_SPLIT_STATS = f"{_FEATURES_SQL}, b AS (SELECT *, CASE WHEN year(target_week_start) <= {TRAIN_UNTIL} THEN 'train' ELSE 'test' END AS split FROM o)"
+_SPLIT_STATS += ", p AS MATERIALIZED (SELECT split, " + ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in _all_features_sql()) + " FROM b GROUP BY split)"
+
+
+def _standardised_moments(n: str) -> str:
+    spread = f"CASE WHEN t.s_{n} < 1e-9 THEN 1.0 ELSE t.s_{n} END"
+    return f"SELECT '{n}' AS feature, p.split, {s6(f'(p.m_{n} - t.m_{n}) / ({spread})', 'mean')}, {s6(f'CASE WHEN p.s_{n} / ({spread}) < 1e-9 THEN 1.0 ELSE p.s_{n} / ({spread}) END', 'std')} FROM p, p AS t WHERE t.split = 'train'"
+
+
+@query(f"{_SPLIT_STATS} " + " UNION ALL ".join(map(_standardised_moments, _all_features_sql())))
+def standardized_moments(spark, d):
+    """Mean and deviation of all 161 standardised features in both parts."""
+    names = features.feature_names()
+    rows = sampling.split_by_year(observed(spark, d), TRAIN_UNTIL).select("split", *names)
+    means, stds = scaling.fit(rows.where("split = 'train'"), names)
+    scaled_rows = scaling.transform(rows, names, means, stds)
+    parts = [scaling.summary(scaled_rows.where(F.col("split") == s), names).withColumn("split", F.lit(s)) for s in ("train", "test")]
+    return parts[0].unionByName(parts[1]).select("feature", "split", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
 # scores, metrics, ranking
 
 _Z = f"{WEIGHTS[0]} + " + " + ".join(f"({w}) * {n}" for w, n in zip(WEIGHTS[1:], SHORT))
@@ -432,13 +470,43 @@ def gd_first_epoch(spark, d):
     return spark.createDataFrame(list(enumerate(fit.weights)), "position int, weight double").select("position", r6(F.col("weight")).alias("weight"))
 
 
+_GD_EPOCHS, _GD_RIDGE = 6, 0.01
+
+
+def _descent_sql() -> str:
+    """An epoch is a one-row step: the loss before it, and the weights after it."""
+    k = range(len(SHORT) + 1)
+    steps = [f"tr AS MATERIALIZED (SELECT * FROM z WHERE year(target_week_start) <= {TRAIN_UNTIL})", "w0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in k) + ")"]
+    x = ["1.0", *SHORT]
+    z = " + ".join(f"w{i} * {x[i]}" for i in k)
+    for e in range(1, _GD_EPOCHS + 1):
+        after = ", ".join(f"any_value(w{i}) - 0.05 * (avg((p - label) * {x[i]}) + {_GD_RIDGE if i else 0.0} * any_value(w{i})) AS w{i}" for i in k)
+        loss = "avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS loss"
+        steps.append(f"w{e} AS MATERIALIZED (SELECT {after}, {loss} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM tr, w{e - 1}))")
+    rows = [f"SELECT 'weight' AS kind, {i} AS position, {s6(f'w{i}', 'value')} FROM w{_GD_EPOCHS}" for i in k]
+    rows += [f"SELECT 'loss', {e}, {s6('loss', 'value')} FROM w{e}" for e in (1, 5, 6)]
+    return ", ".join(steps) + " " + " UNION ALL ".join(rows)
+
+
+@query(f"{_SCALED_SQL}, {_descent_sql()}")
+def gd_epochs(spark, d):
+    """Weights and loss history of some epochs, with the calendar and district features taken from codes."""
+    rows = sampling.split_by_year(observed(spark, d), TRAIN_UNTIL).where("split = 'train'")
+    means, stds = scaling.fit(rows, SHORT)
+    scaled_rows = scaling.transform(rows.select("label", "week_start", *CELL_KEYS, *SHORT), SHORT, means, stds)
+    fit = logreg.train(scaled_rows, SHORT, _GD_EPOCHS, 0.05, _GD_RIDGE, tables=features.code_tables(SHORT, means, stds))
+    found = [("weight", i, w) for i, w in enumerate(fit.weights)] + [("loss", h["epoch"], h["log_loss"]) for h in fit.history]
+    return spark.createDataFrame(found, "kind string, position int, value double").withColumn("value", r6(F.col("value")))
+
+
 @query()
 def gd_train(spark, d):
     """Eighty epochs over all 161 features; the history with rounded losses."""
     rows = sampling.split_by_year(observed(spark, d), TRAIN_UNTIL).where("split = 'train'")
     names = features.feature_names()
     means, stds = scaling.fit(rows, names)
-    fit = logreg.train(scaling.transform(rows.select("label", *names), names, means, stds), names, epochs=80, rate=0.05, ridge=0.0005)
+    scaled_rows = scaling.transform(rows.select("label", "week_start", *CELL_KEYS, *names), names, means, stds)
+    fit = logreg.train(scaled_rows, names, epochs=80, rate=0.05, ridge=0.0005, tables=features.code_tables(names, means, stds))
     return spark.createDataFrame([(h["epoch"], h["log_loss"]) for h in fit.history], "epoch int, log_loss double").select("epoch", r6(F.col("log_loss")).alias("log_loss"))
 
 
@@ -496,8 +564,11 @@ def resource_summary(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cellcast.plans import file_queries, serving_queries  # they register themselves  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from dataclasses import dataclass
 
@@ -25,10 +24,24 @@ class Prepared:
     means: list[float]
     stds: list[float]
     target_info: dict
+    persisted: DataFrame | None = None
 
     def part(self, split: str) -> DataFrame:
         return self.rows.where(F.col("split") == split).drop("split")
 
+    def sizes(self) -> dict[str, int]:
+        found = {r["split"]: r["n"] for r in self.rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        return {s: found.get(s, 0) for s in ("train", "test")}
+
+    def metadata(self) -> dict:
+        n = self.sizes()
+        return tables.prepared_metadata(self.names, self.means, self.stds, self.target_info, n["train"], n["test"])
+
+    def release(self) -> None:
+        """Give the memory of the persisted observations back."""
+        if self.persisted is not None:
+            self.persisted.unpersist()
+
 
 def ingest(spark: SparkSession, path: str, min_year: int = 0, max_rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """Weekly cells of a raw file, and one row of statistics on what was read."""
@@ -39,7 +52,8 @@ def ingest(spark: SparkSession, path: str, min_year: int = 0, max_rows: int = 0)
 def prepare(cells: DataFrame, train_until: int, negative_ratio: int = 0, target_before: str | None = None, names: list[str] | None = None) -> Prepared:
     """Labelled, sampled, split and standardised observations.
 
-    The observations are persisted, as the census, the split and the statistics each read them.
+    The observations are persisted, as the census, the split and the statistics each read them;
+    ``release`` ends that.
     """
     names = names or features.feature_names()
     every = features.observations(cells, target_before).persist(StorageLevel.MEMORY_AND_DISK)
@@ -49,13 +63,13 @@ def prepare(cells: DataFrame, train_until: int, negative_ratio: int = 0, target_
     split = sampling.temporal_split(kept, train_until)
     means, stds = scaling.fit(split.where("split = 'train'"), names)
     rows = scaling.transform(split.select(*OBSERVATION_META.fieldNames(), "split", *names), names, means, stds)
-    return Prepared(rows, names, means, stds, info)
+    return Prepared(rows, names, means, stds, info, every)
 
 
 def train(prepared: Prepared, epochs: int = 50, rate: float = 0.05, ridge: float = 0.0) -> tuple[scoring.Model, dict]:
     """A model, and its history and metrics on both parts."""
     started = time.time()
-    fit = logreg.train(prepared.part("train"), prepared.names, epochs, rate, ridge)
+    fit = logreg.train(prepared.part("train"), prepared.names, epochs, rate, ridge, tables=features.code_tables(prepared.names, prepared.means, prepared.stds))
     model = scoring.Model(prepared.names, fit.weights, prepared.means, prepared.stds)
     report = {"history": fit.history, "learning_rate": rate, "lambda_l2": ridge, "epochs": epochs, "target_info": prepared.target_info, "elapsed_seconds": time.time() - started}
     for split in ("train", "test"):
@@ -65,14 +79,17 @@ def train(prepared: Prepared, epochs: int = 50, rate: float = 0.05, ridge: float
 
 
 def run(spark: SparkSession, path: str, out: str, train_until: int, min_year: int = 0, negative_ratio: int = 0, target_before: str | None = None, epochs: int = 50, rate: float = 0.05, ridge: float = 0.0, top: int = 0) -> dict:
-    """All steps, with their files below ``out`` (a local folder for the model's JSON)."""
-    os.makedirs(out, exist_ok=True)
+    """All steps, with their files below ``out``."""
     cells, stats = ingest(spark, path, min_year)
     tables.write_cells_csv(cells, f"{out}/cells")
     prepared = prepare(cells, train_until, negative_ratio, target_before)
-    tables.write_observations(prepared.rows.drop("split"), f"{out}/observations")
-    model, report = train(prepared, epochs, rate, ridge)
-    tables.save_model(f"{out}/model.json", model, **report)
-    scored = scoring.score_observations(prepared.part("test"), model.weights, model.feature_names)
-    tables.write_predictions_csv(scored, f"{out}/predictions", top)
+    try:
+        tables.write_observations(prepared.rows.drop("split"), f"{out}/observations")
+        tables.save_json(prepared.metadata(), f"{out}/observations.json")
+        model, report = train(prepared, epochs, rate, ridge)
+        tables.save_model(f"{out}/model.json", model, **report)
+        scored = scoring.score_observations(prepared.part("test"), model.weights, model.feature_names)
+        tables.write_predictions_csv(scored, f"{out}/predictions", top)
+    finally:
+        prepared.release()
     return report | {"loader": stats.first().asDict()}

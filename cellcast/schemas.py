@@ -17,6 +17,14 @@ from pyspark.sql.types import (
 )
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def _struct(**fields) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields.items()])
 

@@ -37,12 +37,20 @@ def select_raw(rows: DataFrame) -> DataFrame:
     return renamed.select(*[(F.col(f"c{at[k]}").cast("string") if k in at else F.lit(None).cast("string")).alias(k) for k in (*REQUIRED, *OPTIONAL)])
 
 
-def read_csv(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
-    """Raw text columns of a CSV (compressed or not).  Ragged rows are kept, short ones padded.
+def read_csv(spark: SparkSession, path: str, max_rows: int = 0, quoted_breaks: bool = True) -> DataFrame:
+    """Raw text columns of a CSV (compressed or not).
 
-    ``max_rows`` counts rows as they are read, also those that will turn out invalid.
+    Ragged rows are kept: short ones are padded with nulls, more fields than the header has are
+    left out.  A row that cannot be split into fields at all comes back with null fields, so that
+    it counts as a row that was read and as an invalid one.  Quotes that are not doubled are text.
+
+    A quoted field may hold line breaks, which means that a file is read from its start by one
+    task.  Where that is known not to happen, ``quoted_breaks=False`` lets tasks share a file;
+    otherwise hand large inputs over as many files.  ``max_rows`` counts rows as they are read,
+    also those that will turn out invalid.
     """
     options = {"header": False, "mode": "PERMISSIVE", "escape": '"', "ignoreLeadingWhiteSpace": True}
+    options |= {"multiLine": quoted_breaks, "maxColumns": 100_000}  # an odd row must not stop the job
     first = spark.read.options(**options).csv(path).limit(1).first()
     if first is None:
         raise MissingColumns("empty file")

@@ -28,6 +28,7 @@ def check_features(found: list[str], expected: list[str]) -> None:
 
 
 def write_cells_csv(cells: DataFrame, path: str, single_file: bool = False) -> None:
+    """Aggregates in the order of their keys; a single file only for small results."""
     rows = sorted_cells(cells.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")))
     (rows.coalesce(1) if single_file else rows).write.mode("overwrite").option("header", True).csv(path)
 
@@ -87,13 +88,18 @@ def write_predictions_csv(scored: DataFrame, path: str, max_rows: int = 0) -> No
 
 
 def save_json(value, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(value, out, indent=2, ensure_ascii=False)
+    """Indented by two, at any path that Spark can write."""
+    spark = SparkSession.active()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
 
 
 def load_json(path: str) -> dict:
-    with open(path, encoding="utf-8") as source:
-        return json.load(source)
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
 
 
 def load_model(path: str) -> Model:
@@ -108,3 +114,11 @@ def save_model(path: str, model: Model, **more) -> None:
 def prepared_metadata(names: list[str], means: list[float], stds: list[float], census: dict, train: int, test: int) -> dict:
     """Sidecar of prepared observations."""
     return {"feature_names": names, "means": means, "stds": stds, "target_info": census, "train_observations": train, "test_observations": test}
+
+
+def load_metadata(path: str, names: list[str] | None = None) -> dict:
+    """A sidecar; with ``names``, its features must be these."""
+    found = load_json(path)
+    if names is not None:
+        check_features(found["feature_names"], names)
+    return found

@@ -49,6 +49,12 @@ def test_gap_weeks_count_as_zero(spark):
     assert got == {"2026-01-05": (0.5, 0.25, 0.0), "2026-01-19": (0.5, 0.5, 0.0)}
 
 
+def test_contexts_fill_weeks_without_incidents(spark):
+    rows = features.grid_with_context(cells(spark, ["2026-01-05"], (1, 1)).unionByName(cells(spark, ["2026-01-19", "2026-01-26"], (2, 5), day=3)))
+    got = {(str(r.week_start), r.district): (r["_zone_relevant_1"], r["_district_relevant_4"], r["_city_dow_hour_total_4"]) for r in rows.where("day_of_week = 3 and hour = 10").collect()}
+    assert got == {("2026-01-05", 1): (1.0, 0.25, 0.0), ("2026-01-19", 1): (0.0, 0.25, 0.25), ("2026-01-05", 2): (0.0, 0.0, 0.0), ("2026-01-19", 2): (1.0, 0.25, 0.25)}
+
+
 def test_one_week_has_no_candidates(spark):
     assert grid.candidates(grid.labelled(grid.dense_cells(cells(spark, ["2026-01-05"])))).count() == 0
 
@@ -86,6 +92,22 @@ def test_gradient_descent_equals_numpy(spark):
     assert [h["epoch"] for h in fit.history] == [1, 5, 10, 12] and abs(fit.history[0]["log_loss"] - math.log(2)) < 1e-12
 
 
+def test_codes_stand_for_features(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    zones = [(1, 1), (3, 77), (25, 4), (40, 90)]  # the last one lies outside every one-hot
+    many = [(dt.date(2025, 11, 3) + dt.timedelta(weeks=int(w)), 2025, 11, *zones[z], int(d), int(h), 1, int(d > 3), 0, 0, 0, 0, 1, 0, 0) for w, z, d, h in rng.integers(0, (8, 4, 7, 24), (400, 4))]
+    rows = features.observations(spark.createDataFrame(many, CELL)).where("hour % 5 = 0")
+    names = features.feature_names()
+    means, stds = scaling.fit(rows, names)
+    scaled = scaling.transform(rows, names, means, stds).repartition(5)
+    whole = logreg.train(scaled, names, epochs=4, ridge=0.01)
+    monkeypatch.setattr(logreg, "ROWS_TO_DRIVER", 2)  # sums of partitions are added up by tasks first
+    tables_ = features.code_tables(names, means, stds)
+    coded = logreg.train(scaled, names, epochs=4, ridge=0.01, tables=tables_)
+    assert sum(len(t.names) for t in tables_) == 12 + 25 + 77
+    assert np.allclose(whole.weights, coded.weights, atol=1e-9) and np.allclose([h["log_loss"] for h in whole.history], [h["log_loss"] for h in coded.history])
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(0.9, 1.0), (0.8, 0.0), (0.8, 1.0), (0.3, 0.0), (0.1, 1.0)], "score double, label double")
     got = metrics.evaluate(rows).first()
@@ -103,18 +125,26 @@ def test_ranked_levels(spark):
     assert [r.k for r in got if r.score == 0.5] == [10, 99]
 
 
-NAMES = ["district_norm", "community_area_norm", "hour_sin", "hour_cos", "is_weekend", "is_night", "district_onehot_11", "community_area_onehot_23"]
-MODEL = scoring.Model(NAMES, [0.0] + [1.0] * 8, [0.0] * 8, [1.0] * 8)
+def test_equal_scores_rank_by_their_keys(spark):
+    rows = spark.createDataFrame([(i, 0.5, "x") for i in range(500)], "k int, score double, place string").repartition(6)
+    got = ranking.ranked(rows, ["k"])
+    assert [(r["rank"], r.k) for r in got.orderBy("rank").collect()] == [(i + 1, i) for i in range(500)]
+    assert got.columns == ["k", "score", "place", "rank", "risk_level"]
+    assert ranking.ranked(rows.limit(0), ["k"]).count() == 0
+
+
+NAMES = ["is_weekend", "hour_sin", "district_norm", "community_area_onehot_07", "log_relevant_avg_4w", "district_onehot_05"]
+MODEL = scoring.Model(NAMES, [0.2, -0.5, 0.4, 1.5, 0.7, 9.0, -0.3], [0.0, 0.0, 0.2], [1.0, 1.0, 0.5])
 INPUT = "district int, community_area int, day_of_week int, hour int, week_start string, features array<double>"
 
 
 def test_online_features_and_errors(spark):
-    rows = spark.createDataFrame([(11, 23, 2, 18, None, None), (0, 1, 1, 1, None, None), (1, 1, 7, 1, None, None), (1, 1, 1, 24, None, None), (0, 0, 0, 0, None, [0.0] * 8), (1, 1, 1, 1, None, [1.0])], INPUT)
+    rows = spark.createDataFrame([(5, 7, 6, 6, None, None), (0, 1, 1, 1, None, None), (1, 1, 7, 1, None, None), (1, 1, 1, 24, None, None), (0, 0, 0, 0, None, [0.0] * 6), (1, 1, 1, 1, None, [1.0])], INPUT)
     vector = rows.limit(1).select(scoring.online_vector(MODEL)).first()[0]
-    assert len(vector) == 8 and vector[6:] == [1.0, 1.0]
+    assert vector == pytest.approx([1.0, 1.0, 0.0, 1.0, 0.0, 1.0])  # Saturday, six o'clock, (5 / 25 - 0.2) / 0.5
     got = scoring.predict(rows, MODEL).collect()
     assert [bool(r.error_msg) for r in got] == [False, True, True, True, False, True]
-    assert got[4].risk_score == 0.5 and got[4].risk_level == "Medio"
+    assert got[0].risk_score == round(1 / (1 + math.exp(-0.5)), 4) and got[4].risk_score == round(1 / (1 + math.exp(-0.2)), 4) and got[4].risk_level == "Medio"
     with pytest.raises(scoring.InvalidRequest):
         scoring.predict_batch(rows, MODEL)
 
@@ -135,8 +165,8 @@ def test_nodes(spark):
 
 
 def test_service_caches_and_logs(spark, tmp_path):
-    service = RiskService(spark, MODEL, history_path=str(tmp_path / "h"), cache_path=str(tmp_path / "c"))
-    request = {"district": 11, "community_area": 23, "day_of_week": 2, "hour": 18, "week_start": "2026-06-01"}
+    service = RiskService(spark, MODEL, [("n1", "active"), ("n2", "")], history_path=str(tmp_path / "h"), cache_path=str(tmp_path / "c"))
+    request = {"district": 5, "community_area": 70, "day_of_week": 0, "hour": 9, "week_start": "2025-02-03"}
     first, second = service.predict(request), service.predict(request)
     assert (first["cached"], second["cached"]) == (False, True) and first["risk_score"] == second["risk_score"]
     assert service.metrics()["cache_hits"] == 1 and service.history(500).count() == 2
@@ -144,6 +174,18 @@ def test_service_caches_and_logs(spark, tmp_path):
     assert (usage.requests_predict, usage.cache_hits) == (2, 1)
     best = service.recommend([request, request | {"district": 7}, request | {"hour": 3}], 2).collect()
     assert len(best) == 2 and best[0].risk_score >= best[1].risk_score
+    kept = history.read_history(spark, str(tmp_path / "h")).where("query_type = 'recommendations_top'")
+    assert sorted(r.cached for r in kept.collect()) == [False, False, True] and service.metrics()["cache_hits"] == 2
+    assert [(r.node_id, r.status) for r in service.nodes().collect()] == [("n1", "active"), ("n2", "active")]
+    with pytest.raises(scoring.InvalidRequest):
+        service.recommend([request, request | {"hour": 30}])
+
+
+def test_service_does_without_broken_stores(spark):
+    service = RiskService(spark, MODEL, history_path="no-such-store:/h", cache_path="no-such-store:/c")
+    answer = service.predict({"district": 5, "community_area": 70, "day_of_week": 0, "hour": 9})
+    assert not answer["cached"] and service.counters["cache_errors"] == 2 and service.counters["storage_errors"] == 1
+    assert service.health()["stores"] == {"enabled": True, "history": True, "cache": True}
 
 
 def test_history_limit():
@@ -189,5 +231,37 @@ def test_workflow_from_file_to_predictions(spark, tmp_path):
     assert info["candidate_cells"] == 9 * 2 * 168 and info["kept_negative_cells"] < info["negative_cells"]
     assert report["train_metrics"]["samples"] + report["test_metrics"]["samples"] == info["positive_cells"] + info["kept_negative_cells"]
     assert len(tables.load_model(str(tmp_path / "out/model.json")).weights) == 162
+    sidecar = tables.load_metadata(str(tmp_path / "out/observations.json"), features.feature_names())
+    assert sidecar["train_observations"] == report["train_metrics"]["samples"] and sidecar["test_observations"] == report["test_metrics"]["samples"]
+    with pytest.raises(tables.FeatureMismatch):
+        tables.load_metadata(str(tmp_path / "out/observations.json"), features.feature_names()[1:])
     shown = spark.read.option("header", True).csv(str(tmp_path / "out/predictions"))
     assert shown.count() == report["test_metrics"]["samples"] and shown.columns[6] == "risk_score_estimated"
+
+
+def test_history_of_a_stream(spark, tmp_path):
+    from cellcast.schemas import PREDICTION_RECORD
+    from cellcast.streaming.cells import stream_history
+
+    record = ("r1", "predict", (1, 2, 3, 4, "2025-02-03"), (1, 2, 3, 4, 0.5, "Medio", "n1"), ("n1", "", "active"), False, 7, dt.datetime(2025, 2, 3))
+    spark.createDataFrame([record], PREDICTION_RECORD).write.parquet(str(tmp_path / "in"))
+    running = stream_history(spark.readStream.schema(PREDICTION_RECORD).parquet(str(tmp_path / "in")), str(tmp_path / "h"), str(tmp_path / "at"))
+    running.processAllAvailable()
+    running.stop()
+    assert [(r.request_id, r.result.risk_level) for r in history.read_history(spark, str(tmp_path / "h")).collect()] == [("r1", "Medio")]
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch, tmp_path):
+    from cellcast.sources import scratch
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(scratch.NoSharedFolder):
+        scratch.shared_folder(Session, "x")
+    Session.sparkContext.master = "local[4]"
+    assert scratch.shared_folder(Session, "x") != scratch.shared_folder(Session, "x")
