@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cellcast.sources.scratch import shared_folder
+
 #: Python workers receive batches of at most this many rows and about this many bytes.
 BATCH_ROWS = 2_000
 BATCH_BYTES = 2 << 20
@@ -43,34 +40,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@functools.cache
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="cellcast-checkpoints-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
 class SharedTables:
     """Parquet tables below the folder that ``spark.checkpoint.dir`` names.
 
     That folder is shared by the driver and all executors, so a table written there cuts the
-    lineage and outlives a lost executor.  ``drop`` removes a table that nothing reads any more;
-    the ones a returned DataFrame still reads stay.
+    lineage and outlives a lost executor.  ``drop`` removes a table that nothing reads any more,
+    ``keep`` all but the ones that a returned DataFrame still reads.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only in tests and single-machine sessions
-            base = _own_folder()
-        self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, label)
+        self.names: set[str] = set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        for name in self.names - {*names}:
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -97,6 +91,12 @@ _P = _powers(_POW, _CHUNK + 1)
 _Q = _powers(_INV, _CHUNK + 1)
 
 
+def bits_at(marks: np.ndarray, slot: np.ndarray, slot_bits: int) -> np.ndarray:
+    """Which of the slots a bitmap of ``2 ** slot_bits`` bits marks."""
+    slot = slot & np.uint64((1 << slot_bits) - 1)
+    return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, found and hashed by numpy.
 

@@ -12,7 +12,8 @@ they are joined by a shuffle, whose skewed partitions adaptive execution splits.
 
 Defined results: a null source is a source of its own; a null text is copied like any other; rows
 that repeat an id get equal numbers of copies; a null id hashes like an empty one; an empty table
-gives an empty table; a source without a target weight gets none of the mixture.
+gives an empty table; a source without a target weight gets none of the mixture.  Texts of any
+length are carried as they are, and so are columns of any name but the three that are added.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellcast.schemas import free_name
+
 MEAN_PART = 16.0
 TERMS = 96  # beyond these the tail of a law of mean 16 is under 1e-40
 BROADCAST_SOURCES = 10_000
@@ -66,12 +69,14 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, smoothing: floa
     Adds ``mix_rate``, ``mix_copy`` (from 1) and ``mix_key``, in place of columns so named.
     """
     docs = docs.drop("mix_rate", "mix_copy", "mix_key")
-    rates = source_rates(docs, weights, smoothing, total, source).select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("parts").alias("_mix_parts"), F.col("law").alias("_mix_law"))
+    of, parts, law, times = (free_name(x, docs.columns) for x in ("of", "parts", "law", "times"))
+    rates = source_rates(docs, weights, smoothing, total, source)
+    rates = rates.select(F.col("source").alias(of), F.col("rate").alias("mix_rate"), F.col("parts").alias(parts), F.col("law").alias(law))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, docs[source].eqNullSafe(F.col("_mix_source")))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: uniform(seed, docs["doc_id"], j))
-    count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_mix_law"), lambda c: c <= u)))
-    copies = joined.withColumn("_mix_count", count).where("_mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
+    joined = docs.join(rates, docs[source].eqNullSafe(F.col(of)))
+    drawn = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(seed, docs["doc_id"], j))
+    count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(law), lambda c: c <= u)))
+    copies = joined.withColumn(times, count).where(F.col(times) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy")))
     return keyed.select(*docs.columns, "mix_rate", "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")

@@ -22,7 +22,8 @@ Defined results: null and empty texts, and texts of white space, have no n-grams
 nothing; a text with fewer than n words is one n-gram; texts are lower-cased in A-Z only; rows
 that repeat a ``doc_id`` are one document with all their texts (``n_shingles`` is each row's own);
 a null ``doc_id`` links with nothing and has a null component; an empty table gives an empty
-table.
+table.  A text of any length has all its n-grams counted.  Of ``docs`` only ``doc_id`` and
+``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellcast.llm.common import SharedTables, Words, mix, ngram_hashes, return_freed_memory, sliced, tune
+from cellcast.llm.common import SharedTables, Words, bits_at, mix, ngram_hashes, return_freed_memory, sliced, tune
 from cellcast.llm.components import connected_components
+from cellcast.schemas import free_name
 
 N = 5
 THRESHOLD = 75  # percent of the union
@@ -76,8 +78,7 @@ def ordered(own: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, int]
     """The set in global order, and how many come before the frequent ones."""
     if marks is None:
         return own, len(own)
-    slot = own & np.uint64((1 << SLOT_BITS) - 1)
-    often = (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    often = bits_at(marks, own, SLOT_BITS)
     return np.concatenate((own[~often], own[often])), int((~often).sum())
 
 
@@ -117,8 +118,8 @@ def set_keys(n: int):
 
 
 def marked_rows(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
-    slot = mix(batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) & np.uint64((1 << SLOT_BITS) - 1)
-    return batch.filter(pa.array((marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+    slot = mix(batch.column("doc_id").to_numpy().astype(np.int64).view(np.uint64))
+    return batch.filter(pa.array(bits_at(marks, slot, SLOT_BITS)))
 
 
 def prefixes(wanted, frequent, threshold: int, n: int):
@@ -434,8 +435,7 @@ class JaccardJoin:
         edges, component = self.settle(self.tile_pairs(blocks, parity, component), edges, "tiles")
         own = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
         own = shared.write(own.groupBy("doc_id").agg(F.min("component").alias("component")), "components")
-        for name in ("classes", "blocks", "parity"):
-            shared.drop(name)
+        shared.keep("sets", "components")
         return sets.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def pivot_pairs(self, blocks: DataFrame, parity: DataFrame) -> DataFrame:
@@ -479,26 +479,30 @@ def representatives(docs: DataFrame, threshold: int = THRESHOLD, n: int = N) ->
 
     Rows with a null ``doc_id`` stay; of rows that repeat a ``doc_id`` one stays.  A bitmap of
     fixed size holds the documents to drop; only the few rows whose slot it marks are joined.
+    Columns of ``docs`` may have any name.
     """
+    spark = docs.sparkSession
     components = jaccard_components(docs, threshold, n).where("doc_id is not null")
-    shared = SharedTables(docs.sparkSession, "representatives")
+    shared = SharedTables(spark, "representatives")
     counted = components.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
-    gone = shared.write(counted.where("component_id < doc_id or rows > 1").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("_linked")), "gone")
-    slot = F.xxhash64(F.col("doc_id").cast("long"))
-    marks = docs.sparkSession.sparkContext.broadcast(bytes(bitmap_of(gone, F.xxhash64("doc_id"))))
+    at, own, linked, turn = (free_name(x, docs.columns) for x in ("slot", "gone", "linked", "turn"))
+    gone = counted.where("component_id < doc_id or rows > 1").select(F.col("doc_id").alias(own), (F.col("component_id") < F.col("doc_id")).alias(linked))
+    gone = shared.write(gone, "gone")
+    marks = spark.sparkContext.broadcast(bytes(bitmap_of(gone, F.xxhash64(own))))
+    placed = docs.withColumn(at, F.xxhash64(docs["doc_id"].cast("long")))
+    schema = docs.schema
 
     def chosen(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(marks.value, np.uint8)
             for batch in batches:
-                at = batch.column("_slot").to_numpy().view(np.uint64) & np.uint64((1 << SLOT_BITS) - 1)
-                own = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                own &= ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(own == want)).drop_columns(["_slot"])
+                hit = bits_at(bits, batch.column(at).to_numpy().view(np.uint64), SLOT_BITS)
+                hit &= ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == want)).drop_columns([at])
 
         return run
 
-    placed = docs.withColumn("_slot", slot)
-    listed = placed.mapInArrow(chosen(True), docs.schema).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left").where("_gone is null or not _linked")
-    one = listed.withColumn("_turn", F.when(F.col("_gone").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))).where("_turn = 1")
-    return placed.mapInArrow(chosen(False), docs.schema).unionByName(one.select(*docs.columns))
+    listed = placed.mapInArrow(chosen(True), schema).join(gone, F.col("doc_id").cast("long") == F.col(own), "left").where(F.col(own).isNull() | ~F.col(linked))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = listed.withColumn(turn, F.when(F.col(own).isNull(), F.lit(1)).otherwise(order)).where(F.col(turn) == 1)
+    return placed.mapInArrow(chosen(False), schema).unionByName(one.select(*docs.columns))
