@@ -130,7 +130,7 @@ WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 l AS (SELECT doc_id, k, line, doc_id * 1000000 + k AS place, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
 w AS (SELECT *, array_to_string(ws, ' ') AS words FROM l),
 f AS (SELECT words, any_value(ws) AS ws, min(place) AS place FROM w WHERE len(ws) >= {line_dedup.MIN_WORDS} GROUP BY words),
-long AS (SELECT * FROM f WHERE len(ws) >= {line_dedup.MIN_EDIT_WORDS}),
+long AS (SELECT * FROM f WHERE len(ws) >= {line_dedup.edit_words(line_dedup.EDITS, line_dedup.SIMILARITY)}),
 p AS (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM long),
 v AS (SELECT words, place, pos, array_to_string(list_concat(ws[1:pos - 1], ws[pos + 1:]), ' ') AS rest FROM p),
 s AS (SELECT pos, rest, min(place) AS first FROM v GROUP BY ALL),

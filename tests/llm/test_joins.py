@@ -150,14 +150,14 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_words=1, edits=1, similarity=75):
     lines = [((i, k), words(t)) for i, text in rows if text is not None and i is not None for k, t in enumerate(text.split("\n"))]
     drop = set()
     for place, w in lines:
-        if len(w) < line_dedup.MIN_WORDS:
+        if len(w) < min_words:
             continue
         for other, v in lines:
-            near = min(len(w), len(v)) >= line_dedup.MIN_EDIT_WORDS and distance(w, v) <= 1
+            near = edits and min(len(w), len(v)) >= max(line_dedup.edit_words(edits, similarity), min_words) and distance(w, v) <= 1
             if other < place and (w == v or near):
                 drop.add(place)
     return drop
@@ -194,6 +194,31 @@ def test_repeated_document_rows_keep_their_lines(spark):
     assert [r.doc_id for r in line_dedup.rows_without_duplicates(table(spark, [(1, same), (2, same), (3, "")])).orderBy("doc_id").collect()] == [1, 3]
 
 
+@pytest.mark.parametrize("options", [{"min_words": 5, "similarity": 87}, {"edits": 0}, {"min_words": 2, "similarity": 50}])
+def test_line_parameters(spark, options):
+    rng = random.Random(11)
+    rows = []
+    for i in range(80):
+        lines = [[f"w{k}" for k in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 4))]
+        for w in lines:
+            w[rng.randrange(len(w))] = f"x{rng.randrange(3)}"
+        rows.append((i, "\n".join(map(" ".join, lines))))
+    drop = brute_lines(rows, **options)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table(spark, rows), **options).collect()}
+    assert drop and got == {i: sum(d == i for d, _ in drop) for i, _ in rows}
+    with pytest.raises(ValueError):
+        line_dedup.edit_words(2, 75)
+
+
+def test_hot_lines_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_TIMES", 4)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    rows = [(i, "\n".join(["menu", f"own {i % 40}", "all rights are reserved here" if i % 2 else f"line {i}"])) for i in range(200)]
+    drop = brute_lines(rows)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {i: sum(d == i for d, _ in drop) for i, _ in rows}
+
+
 def test_later_copies_in_a_marked_slot(spark):
     ids = np.arange(60_000)
     slot = line_dedup.place_slot(ids, np.zeros(len(ids), np.int64), np.uint64(0)) & np.uint64((1 << line_dedup.SLOT_BITS) - 1)
@@ -221,8 +246,8 @@ def test_vector_search(spark, monkeypatch):
     vectors[rng.random(vectors.shape) < 0.4] = 0  # ties, zeros
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
     rows += [(400, None, 0), (450, [1.0, None], 0), (500, [float("nan")] * 6, 0), (550, [float("inf")] + [0.0] * 5, 0), (None, [1.0] * 6, 0), (601, [1.0, 1.0], 0)]
-    monkeypatch.setattr(vector_topk, "CANDIDATE_CHUNK", 64)
-    monkeypatch.setattr(vector_topk, "QUERY_BLOCK", 6)
+    for name, size in (("CANDIDATE_CHUNK", 16), ("QUERY_BLOCK", 3), ("CANDIDATE_BLOCK", 90)):  # a grid of several cells
+        monkeypatch.setattr(vector_topk, name, size)
     got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     known = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     for q in [i for i in known if i % 50 == 0]:
@@ -234,6 +259,25 @@ def test_vector_search(spark, monkeypatch):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 256 * 128)]
 
 
+def test_vectors_beyond_64_bits(spark):
+    """Huge finite components: exact ranks, scores cut to a long, and no other row disturbed."""
+    huge = [[1e30, 1e30], [-1e30, 5.0], [1.5e300, 1e308], [3e15, 3e15], [2.0**62, 1.0], [0.25, -0.5], [1.0, 2.0], [1e30, 1e30 * (1 + 2**-50)]]
+    rows = [(i * 25, v) for i, v in enumerate(huge)] + [(i * 25 + 1, v) for i, v in enumerate(huge)] + [(7, [1.0, 2.0]), (8, [1.0, 2.0])]
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).collect()
+    terms = {i: [vector_topk.whole(x, 256) for x in v] for i, v in rows}
+    assert terms[0] == [int(1e30) * 256] * 2 and terms[125] == [64, -128]
+    for q in [i for i in terms if i % 50 == 0]:
+        expected = sorted((-sum(a * b for a, b in zip(terms[q], v)), i) for i, v in terms.items() if i != q)[:6]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [(r.score, r.vec_id) for r in own] == [(max(-(1 << 63), min((1 << 63) - 1, -s)), i) for s, i in expected]
+
+
+def test_vectors_repeat(spark):
+    rows = [(0, [1.0, 1.0]), (0, [0.0, 1.0])] + [(5, [1.0, 0.5])] * 7 + [(3, [1.0, 0.5])]
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((0, k + 1, 3 if k == 0 else 5, s) for s in (256 * 384, 256 * 128) for k in range(5))
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(40)) + ("\nshared line of some eight words in a row" if i % 3 == 0 else "")) for i in range(200)]
@@ -266,7 +310,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 def test_stages_keep_extra_columns(spark, tmp_path):
     rows = [(i, f"word{i} and some other words that make up a line {i}") for i in range(30)] + [(40, None), (None, "x"), (41, "")]
     docs = table(spark, rows)
-    for name in ("linked", "drops", "n_lines", "label", "fold", "mix_copy", "component_id", "slot", "score"):
+    used = "linked drops n_lines label fold mix_copy component_id slot score gone turn doc of parts law times place held_out passages h g rows rep"
+    for name in [n for u in used.split() for n in (u, f"_{u}", f"_mix_{u}")]:
         docs = docs.withColumn(name, F.lit("own"))
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:4]:
