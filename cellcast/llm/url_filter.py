@@ -3,22 +3,25 @@
 The classifier sees hashed character n-grams of host and path and learns from a small labelled
 table of URL patterns kept here.  Rules come first; where none fits, the classifier decides.
 
+Host, path and rule are column expressions; only the classifier runs in Python.
+
 Defined results: host and path of a null URL, or one without ``://``, are empty and are judged
 like any other (no rule fits an empty host); rows are judged one by one, so ties and repeated
 rows repeat; a null ``page_id`` stays null; an empty table gives an empty table.  No url content
-is dropped: whole hosts and paths are hashed whatever their length.
+is dropped: whole hosts and paths are hashed whatever their length.  Of the table only ``page_id``
+and ``url`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cellcast.llm.common import sliced, tune
 
@@ -34,51 +37,73 @@ SLOTS = 1 << 14
 EPOCHS, RATE, L2 = 1_000, 20.0, 2e-6
 
 #: The labelled table is made from these words.  Unwanted hosts name a trade or a trick, alone or
-#: beside a lure; wanted hosts are common words, compounds of them, and names that mean nothing.
+#: beside a lure; wanted hosts are common words, compounds of them, and names that mean nothing,
+#: which are spelled by rule (``invented``).  Paths are written like those of common web software.
 TRADES = "ads adserver adclick track tracker banner casino poker bets betting slots jackpot xxx porn adult sex escort pills pharma viagra loans payday crack warez torrent spam malware phish farm linkfarm doorway popup coupon replica".split()
 LURES = "cheap free best win online hot fast easy top real super instant bonus lucky mega x vip".split()
 PLAIN = "www blog news docs wiki library museum journal school science health recipes travel weather sports history archive research community forum help support city mobile open data daily local world green river stone garden".split()
-GROUPS = "th ti on er in an re en ed nd ou ea ha sh wh st nt or at es ing ion ble ly de la le un qu ch ai eu ber ver ung ein lo ra mi do co ta".split()
-SUFFIXES = "example.com example.org example.net sample.edu site.info".split()
+SUFFIXES = "com org net info io edu gov co.uk de fr es".split()
 BLOCKED_PATHS = "/ads/banner /adclick /track/pixel /casino/bonus /poker/free /xxx/video /porn/gallery /escort/list /pills/cheap /loans/fast /warez/crack /torrent/download /popup /redirect/affiliate /tag/spam /download.exe".split()
-PLAIN_PATHS = "/ /articles/2024/ /article/story /news/world /blog/post.html /docs/guide /wiki/page /history/rome /recipes/bread /help/faq /research/paper /about /en/14 /fr/241 /de/3750 /es/40861 /en/52/ /fr/6170/ /de/708.html /es/8990.html /en/120031.html /en/9826/".split()
+PLAIN_PATHS = "/ /{w} /{w}/ /{w}/{n} /{w}/{w}.html /{w}/{n}.html /{n} /{n}/{w} /{y}/{w} /{y}/{n}/{w}.php /index.php /{w}/page/{n} /~{w}/{w}.htm /{w}_{n}.pdf".split()
+CONSONANTS, VOWELS = "bcdfghjklmnpqrstvwxyz", "aeiou"
 
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, score double"
+_PARTS = "://([^/?#]*)([^?#]*)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path of a URL; both empty where there is none."""
+    url = F.coalesce(url, F.lit(""))
+    return F.translate(F.regexp_extract(url, _PARTS, 1), _UPPER, _UPPER.lower()), F.regexp_extract(url, _PARTS, 2)
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path of a URL."""
-    found = _PARTS.search(url) if url else None
-    return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
+def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """The longest rule that fits, as text, and its verdict; null where none does.
 
-def match_rule(host: str, path: str, rules=RULES) -> tuple[str | None, str | None]:
-    """The longest rule that fits, as text, and its verdict."""
-    fits = [(len(h + p), h + p, v) for v, h, p in rules if path.startswith(p) and (host == h or host.endswith("." + h))]
-    return max(fits)[1:] if fits else (None, None)
+    ``rules`` are a list for people to keep: one expression that stops at the first that fits.
+    """
+    rule = verdict = None
+    for kept, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
+        fits = path.startswith(p) & ((host == h) | host.endswith(f".{h}"))
+        rule = F.when(fits, h + p) if rule is None else rule.when(fits, h + p)
+        verdict = F.when(fits, kept) if verdict is None else verdict.when(fits, kept)
+    nothing = F.lit(None).cast("string")
+    return (nothing, nothing) if rule is None else (rule, verdict)
+
+
+def invented(seed: str) -> str:
+    """A name that means nothing: syllables of one or two consonants and a vowel."""
+    draw = zlib.crc32(seed.encode())
+    out = ""
+    for _ in range(2 + draw % 3):
+        draw = (draw * 1_103_515_245 + 12_345) % (1 << 31)
+        a, b, c = (draw >> 3) % 21, (draw >> 9) % 42, (draw >> 16) % 5
+        out += CONSONANTS[a] + (CONSONANTS[b] if b < 10 else "") + VOWELS[c]
+    return out + (CONSONANTS[draw % 21] if draw % 2 else "")
 
 
 @functools.cache
 def training_table() -> list[tuple[str, str, int]]:
     """(host, path, 1 to block): the small labelled table, some two thousand rows."""
     pick = lambda key, words: words[zlib.crc32(key.encode()) % len(words)]
-    name = lambda i: "".join(pick(f"name {i} {j}", GROUPS) for j in range(2 + i % 3))
+
+    def plain_path(i: int) -> str:
+        word = invented(f"path {i}") if i % 2 else pick(f"word {i}", PLAIN)
+        return PLAIN_PATHS[i % len(PLAIN_PATHS)].format(w=word, n=zlib.crc32(f"number {i}".encode()) % 10 ** (1 + i % 6), y=1995 + i % 30)
+
     hosts = [(trade, 1) for trade in TRADES]
     hosts += [(f"{lure}-{trade}" if i % 2 else f"{trade}-{lure}", 1) for i, trade in enumerate(TRADES) for lure in LURES]
     hosts += [(f"{a}-{b}", 1) for i, a in enumerate(TRADES) for b in (TRADES[(i + 3) % len(TRADES)], pick(a, PLAIN))]
     hosts += [(f"{a}-{b}", 0) for i, a in enumerate(PLAIN) for b in PLAIN[:8] if a != b]
-    hosts += [(word, 0) for word in PLAIN] + [(name(i), 0) for i in range(900)]
+    hosts += [(word, 0) for word in PLAIN] + [(invented(f"host {i}"), 0) for i in range(900)]
     rows = []
     for i, (host, label) in enumerate(hosts):
-        front = ("", "www.", "m.", "blog.", f"{name(i)}.")[i % 5]
-        rows.append((f"{front}{host}.{SUFFIXES[i % 4 if label else i % 5]}", PLAIN_PATHS[i % len(PLAIN_PATHS)], label))
-    for i in range(900):  # bare and plain hosts, with unwanted paths now and then
+        front = ("", "www.", "m.", "blog.", f"{invented(f'front {i}')}.")[i % 5]
+        rows.append((f"{front}{host}.{SUFFIXES[i % len(SUFFIXES)]}", plain_path(i), label))
+    for i in range(900):  # plain hosts, with unwanted paths now and then
         unwanted = i % 3 == 0
-        path = pick(f"path {i}", BLOCKED_PATHS if unwanted else PLAIN_PATHS)
-        rows.append((f"{('www.', 'm.', 'blog.', '')[i % 4]}{(name(i) + '.') if i % 2 else ''}{SUFFIXES[i % 5]}", path, int(unwanted)))
+        host = f"{('www.', 'm.', 'blog.', '')[i % 4]}{invented(f'plain {i}')}.{SUFFIXES[i % len(SUFFIXES)]}"
+        rows.append((host, pick(f"path {i}", BLOCKED_PATHS) if unwanted else plain_path(i + 1), int(unwanted)))
     return rows
 
 
@@ -122,25 +147,27 @@ def score(host: str, path: str, w: np.ndarray) -> float:
     return 1 / (1 + np.exp(-z))
 
 
-def judge(w: np.ndarray):
+def scorer(w: np.ndarray):
+    """Arrow map that adds the classifier's score to rows with ``host`` and ``path``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
-        for batch in sliced(batches, "url"):
-            rows = []
-            for page, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist()):
-                host, path = split_url(url)
-                rule, verdict = match_rule(host, path)
-                p = score(host, path, w)
-                rows.append((page, host, path, rule, verdict or ("block" if p >= 0.5 else "allow"), p))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        for batch in sliced(batches, "path"):
+            scores = [score(h, p, w) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     return run
 
 
-def filter_urls(pages: DataFrame) -> DataFrame:
-    """Verdict of every row of ``pages`` (``page_id``, ``url``); a narrow map, nothing shuffled.
+def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` of every row of ``pages``.
 
-    The weights (``SLOTS`` + 1 numbers) are trained on the driver and travel with the task.
+    A narrow map, nothing shuffled.  The weights (``SLOTS`` + 1 numbers) are trained on the driver
+    and travel with the task.
     """
     tune(pages.sparkSession)
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url")).mapInArrow(judge(weights()), SCHEMA)
+    host, path = url_parts(pages["url"].cast("string"))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    scored = rows.mapInArrow(scorer(weights()), "page_id long, host string, path string, rule string, verdict string, score double")
+    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
