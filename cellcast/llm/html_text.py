@@ -12,7 +12,10 @@ decoded, white space becomes one space, blocks are joined by one line break.
 
 Defined results: a null or empty page gives an empty text; unclosed, stray and unknown tags never
 fail; a page without markup is one block; rows are read one by one, so ties and repeated rows
-repeat; a null ``page_id`` or ``url`` stays null; an empty table gives an empty table.
+repeat; a null ``page_id`` or ``url`` stays null; an empty table gives an empty table.  Pages of any
+length are read whole, in time linear in it however broken their markup is; from a tag whose quotes
+do not close, quotes are taken as plain characters of tags.  Of the table only ``page_id``, ``url``
+and ``html`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ SCOPES = frozenset("html body article main section nav aside header footer div f
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 DIVIDERS = frozenset("html body article main section nav aside header footer div form table tbody thead tfoot tr td ul ol dl fieldset details dialog center menu search".split())
 
-_TAG = re.compile(r"<(?:(!--)|([!?])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_MARKUP = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -60,15 +65,71 @@ class Node:
         self.label = None
 
 
+class Open:
+    """The open elements of a page, with counts that tell without a search what is open where.
+
+    A search through the stack is only made when it will find an element and close all above it,
+    so that all searches of a page together pass each element once.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # inline ones carry their block's node
+        self.total: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]  # inline elements since each element that is not
+        self.scopes: list[tuple[int, dict[str, int]]] = [(0, {})]  # place of each scope, and what is open in it
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.total[tag] = self.total.get(tag, 0) + 1
+        if tag in INLINE:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        else:
+            self.inline.append({})
+        if tag in SCOPES:
+            self.scopes.append((len(self.stack) - 1, {}))
+        else:
+            held = self.scopes[-1][1]
+            held[tag] = held.get(tag, 0) + 1
+
+    def pop(self) -> tuple[str, int]:
+        tag, node = self.stack.pop()
+        self.total[tag] -= 1
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][tag] -= 1
+        return tag, node
+
+    def nearest(self, tags) -> int:
+        """Place of the topmost open element of ``tags``, of which there is one."""
+        return next(d for d in range(len(self.stack) - 1, 0, -1) if self.stack[d][0] in tags)
+
+    def ended_by(self, tag: str) -> int | None:
+        """Place of the element that an end tag closes; an inline one never reaches beyond its block."""
+        held = self.inline[-1] if tag in INLINE else self.total
+        return self.nearest((tag,)) if held.get(tag) else None
+
+    def implied(self, ends) -> int | None:
+        """Place of the nearest element of ``ends`` that is open in the scope, the scope itself included."""
+        at, held = self.scopes[-1]
+        if any(held.get(e) for e in ends):
+            return self.nearest(ends)
+        return at if at and self.stack[at][0] in ends else None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order (a parent before its children), and (node, text) of every block."""
     nodes = [Node("html", "", -1)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their block's node
+    open_ = Open()
     runs: list[tuple[int, list[str]]] = []
     pieces: list[str] = []
     owner = 0
     links = hidden = 0
-    linked: list[int] = []
+    last_end, pattern = page.rfind(">"), _TAG
 
     def flush() -> None:
         nonlocal pieces
@@ -88,53 +149,55 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def close(depth: int) -> None:
         """Pop open elements down to ``depth``."""
         nonlocal owner, links, hidden
-        while len(stack) > depth:
-            tag, node = stack.pop()
+        while len(open_.stack) > depth:
+            tag, _ = open_.pop()
             if tag == "a":
                 links -= 1
             elif tag in HIDDEN:
                 hidden -= 1
             if tag not in INLINE and tag not in HIDDEN:
                 flush()
-                owner = stack[-1][1]
+                owner = open_.stack[-1][1]
 
     at, size = 0, len(page)
+    shown = 0  # up to where the page's text has been taken
     while at < size:
-        found = _TAG.search(page, at)
-        if not found:
-            text(page[at:])
-            break
-        if found.start() > at:
-            text(page[at : found.start()])
-        at = found.end()
-        if found[1]:
-            end = page.find("-->", at)
-            at = size if end < 0 else end + 3
+        start = _MARKUP.search(page, at)
+        if not start or (start.start() > last_end and not page.startswith("<!--", start.start())):
+            break  # no tag ends after here
+        at = start.start()
+        if page.startswith("<!--", at):
+            text(page[shown:at])
+            end = page.find("-->", at + 4)
+            at = shown = size if end < 0 else end + 3
             continue
-        if found[2]:
+        if page[at + 1] in "!?":
+            text(page[shown:at])
+            at = shown = page.find(">", at) + 1
             continue
-        tag = found[4].lower()
-        if found[3]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+        found = pattern.match(page, at)
+        if not found and pattern is _TAG:
+            pattern = _PLAIN_TAG
+            found = pattern.match(page, at)
+        if not found:
+            at += 1
+            continue
+        text(page[shown:at])
+        at = shown = found.end()
+        tag = found[2].lower()
+        if found[1]:
+            depth = open_.ended_by(tag)
+            if depth is not None:
+                close(depth)
+            elif tag == "p":
                 flush()
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and name not in INLINE:
-                    break  # a stray end of an inline element
             continue
         if tag in ENDS or tag in ENDS_P:
             ends = ENDS.get(tag, ()) or {"p"}
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name in ends:
-                    close(depth)
-                    if tag == "p" or name not in ("td", "th"):
-                        break
-                elif name in SCOPES and not (tag in ("tr", "td", "th", "tbody", "tfoot") and name in ("td", "th")):
+            while (depth := open_.implied(ends)) is not None:
+                name = open_.stack[depth][0]
+                close(depth)
+                if tag == "p" or name not in ("td", "th"):
                     break
         if tag == "br":
             text(" ")
@@ -143,25 +206,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "hr":
                 flush()
             continue
-        closed = found[5].endswith("/") and tag in ("svg", "math", "path", "iframe", "script")
+        closed = found[3].endswith("/") and tag in ("svg", "math", "path", "iframe", "script")
         if tag in RAW and not closed:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-            at = end.end() if end else size
+            at = shown = end.end() if end else size
             continue
         if closed:
             continue
         if tag in INLINE:
             if tag == "a":
                 links += 1
-            stack.append((tag, owner))
+            open_.push(tag, owner)
         elif tag in HIDDEN:
             hidden += 1
-            stack.append((tag, owner))
+            open_.push(tag, owner)
         else:
             flush()
-            nodes.append(Node(tag, found[5], owner))
+            nodes.append(Node(tag, found[3], owner))
             owner = len(nodes) - 1
-            stack.append((tag, owner))
+            open_.push(tag, owner)
+    text(page[shown:])
     flush()
     blocks = []
     for node, parts in runs:
