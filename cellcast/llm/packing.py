@@ -2,21 +2,26 @@
 
 A document costs ``LINEAR * n + QUADRATIC * n**2`` for its ``n`` tokens (projections and
 attention).  Documents are cut at the sequence length, the pieces sorted by falling cost, and
-each goes to the cheapest sequence that has room; when a piece has more tokens than that room it
-is cut and its rest queues again.  The tokens that do not fill a whole sequence go to sequences
-whose lengths are the powers of two that add up to them, so nothing is padded.
+each goes to the cheapest sequence whose remaining capacity holds it whole.  A piece is cut only
+where none does; then the cheapest sequence with any room takes its head, and its rest queues again.
+So every sequence is filled.
 
 The work is a narrow map over the partitions: a block of about ``BLOCK_TOKENS`` tokens is packed
 at a time, no row is shuffled, and a task that is run again over the same rows gives the same
-sequences.  Sequence ids combine the partition's number with a running one.
+sequences.  What does not fill a sequence goes on to the next block; at the end of a partition the
+rest goes to sequences whose lengths are the powers of two that add up to it, at most one of each,
+so nothing is padded.  Sequence ids combine the partition's number with a running one.
 
 Defined results: a null text is empty, an empty text is the single end id; repeated rows are
-packed once each; a null ``doc_id`` stays null; an empty table gives no sequences.
+packed once each; a null ``doc_id`` stays null; an empty table gives no sequences; a text of any
+length is packed whole, in as many pieces as it needs.  Of the table only ``doc_id`` and ``text``
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import unicodedata
 import zlib
@@ -96,42 +101,87 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
-def assign(lengths: list[int], size: int = SEQUENCE) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece; sequences counted from 0."""
-    total = sum(lengths)
-    whole = total // size
-    pieces = []  # (-length, document, start): longest first, cost rises with length
-    for d, n in enumerate(lengths):
-        pieces += [(-min(size, n - at), d, at) for at in range(0, n, size)]
-    pieces.sort()
-    rest = [1 << b for b in reversed(range(size.bit_length())) if (total % size) >> b & 1]
-    room = [size] * whole + rest
-    bins = [(0.0, s) for s in range(whole)]
-    fill = [0] * len(room)
-    at_tail = whole
-    queue: list[tuple[int, int, int]] = []  # rests of cut pieces
-    i = 0
-    while i < len(pieces) or queue:
-        if queue and (i >= len(pieces) or queue[0] <= pieces[i]):
-            neg, d, start = heapq.heappop(queue)
-        else:
-            neg, d, start = pieces[i]
-            i += 1
+class Rooms:
+    """Sequences by remaining capacity: the cheapest of all with at least some room, in log time.
+
+    A tree over the capacities holds the cheapest sequence of each range of them.
+    """
+
+    def __init__(self, size: int):
+        self.base = 1 << size.bit_length()  # a leaf for each capacity from 0 to size
+        self.leaves: list[list[tuple[float, int]]] = [[] for _ in range(self.base)]
+        self.tree: list[tuple[float, int]] = [(math.inf, -1)] * (2 * self.base)
+
+    def _renew(self, room: int) -> None:
+        at, leaf, tree = self.base + room, self.leaves[room], self.tree
+        tree[at] = leaf[0] if leaf else (math.inf, -1)
+        while at > 1:
+            at >>= 1
+            least = min(tree[2 * at], tree[2 * at + 1])
+            if tree[at] == least:
+                break
+            tree[at] = least
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.leaves[room], (cost, sequence))
+        self._renew(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest with room for ``least`` tokens, which leaves."""
+        tree, a, b = self.tree, self.base + least, 2 * self.base
+        best, at = (math.inf, -1), 0
+        while a < b:
+            if a & 1:
+                if tree[a] < best:
+                    best, at = tree[a], a
+                a += 1
+            if b & 1:
+                b -= 1
+                if tree[b] < best:
+                    best, at = tree[b], b
+            a >>= 1
+            b >>= 1
+        if not at:
+            return None
+        while at < self.base:
+            at = 2 * at if tree[2 * at] == best else 2 * at + 1
+        room = at - self.base
+        heapq.heappop(self.leaves[room])
+        self._renew(room)
+        return (*best, room)
+
+
+def assign(pieces: list[tuple[int, int, int]], rooms: list[int], size: int = SEQUENCE) -> tuple[list, list]:
+    """Places (document, start, length, sequence, offset) of the pieces, and the pieces left over.
+
+    ``pieces`` are (document, start, length); ``rooms`` the capacities of the sequences, which are
+    all filled if there are tokens enough.
+    """
+    found, over = [], []
+    queue = [(-min(size, n - at), d, start + at) for d, start, n in pieces for at in range(0, n, size)]
+    heapq.heapify(queue)  # longest first, as cost rises with length
+    open_ = Rooms(size)
+    for s, room in enumerate(rooms):
+        open_.put(room, 0.0, s)
+    while queue:
+        neg, d, start = heapq.heappop(queue)
         n = -neg
-        if bins:
-            spent, s = heapq.heappop(bins)
-        else:
-            spent, s = 0.0, at_tail
-        put = min(n, room[s] - fill[s])
-        yield d, start, put, s, fill[s]
-        fill[s] += put
-        if fill[s] < room[s]:
-            if s < whole:
-                heapq.heappush(bins, (spent + cost(put), s))
-        elif s >= whole:
-            at_tail += 1
+        place = open_.take(n) or open_.take(1)
+        if place is None:
+            over.append((d, start, n))
+            continue
+        spent, s, room = place
+        put = min(n, room)
+        found.append((d, start, put, s, rooms[s] - room))
+        if put < room:
+            open_.put(room - put, spent + cost(put), s)
         if put < n:
             heapq.heappush(queue, (put - n, d, start + put))
+    return found, over
+
+
+def powers_of_two(n: int) -> list[int]:
+    return [1 << b for b in reversed(range(n.bit_length())) if n >> b & 1]
 
 
 def packer(tokenizer_path: str, size: int, block_tokens: int):
@@ -139,27 +189,31 @@ def packer(tokenizer_path: str, size: int, block_tokens: int):
         words = WordIds(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
-        docs: list = []
-        blobs: list[bytes] = []
+        docs: list[tuple[int | None, bytes]] = []  # of the pieces that wait
+        pieces: list[tuple[int, int, int]] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal docs, blobs, held, base
-            rows = list(assign([len(b) // 4 for b in blobs], size))
-            out = [(docs[d], start, n, zlib.crc32(memoryview(blobs[d])[4 * start : 4 * (start + n)]), len(blobs[d]) // 4, base + s, offset) for d, start, n, s, offset in rows]
-            base += max(r[3] for r in rows) + 1
-            docs, blobs, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal docs, pieces, held, base
+            rooms = [size] * (held // size) + (powers_of_two(held % size) if last else [])
+            rows, over = assign(pieces, rooms, size)
+            out = [(docs[d][0], start, n, zlib.crc32(memoryview(docs[d][1])[4 * start : 4 * (start + n)]), len(docs[d][1]) // 4, base + s, offset) for d, start, n, s, offset in rows]
+            base += len(rooms)
+            kept = sorted({d for d, *_ in over})
+            place = {d: i for i, d in enumerate(kept)}
+            docs, pieces, held = [docs[d] for d in kept], [(place[d], start, n) for d, start, n in over], sum(n for *_, n in over)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in sliced(batches, "text"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                docs.append(doc)
-                blobs.append(words.ids(text) + end)
-                held += len(blobs[-1]) // 4
+                blob = words.ids(text) + end
+                pieces.append((len(docs), 0, len(blob) // 4))
+                docs.append((doc, blob))
+                held += len(blob) // 4
                 if held >= block_tokens:
-                    yield flush()
+                    yield flush(False)
         if held:
-            yield flush()
+            yield flush(True)
 
     return pack
 
