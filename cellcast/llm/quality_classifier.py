@@ -1,7 +1,9 @@
 """Quality by co-training two views of a document.
 
-The text view sees what the text is like (word lengths, symbols, repetition, variety); the
-metadata view sees what is known about it without reading it (language, source, stated length).
+The text view sees what the text says, as log-odds of its words (hashed to ``WORD_SLOTS`` slots and
+counted in the labelled rows, without the row's own fold), and what it is like (word lengths,
+symbols, repetition, variety); the metadata view sees what is known about it without reading it
+(language, source, stated length).
 Both start from the labelled rows; in each round either view labels the unlabelled documents it is
 most sure of, and these join the other view's training rows.  The views are then calibrated, and
 combined by a logistic model, on a training fold that neither has seen, and score all documents.
@@ -13,7 +15,8 @@ these in every round and move the surest ``SHARE`` of them; what comes back is s
 Defined results: null and empty texts have all-zero text features; null metadata is a value of its
 own; a null ``doc_id`` is never trained on nor held out; repeated rows get equal scores; labels of
 one document that differ count as good; without labels of both classes every score is ``PRIOR``;
-an empty table gives an empty table.
+an empty table gives an empty table.  Texts of any length are read whole.  Of the table only
+``doc_id``, ``text``, ``lang``, ``source`` and ``n_chars`` are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.common import SharedTables, Words, sliced, tune
 from cellcast.llm.quality_rules import duplicate_lines, repeated_words
-from cellcast.llm.toxicity import fold_of, logistic
+from cellcast.llm.toxicity import FOLDS, fold_of, logistic
 
 MAX_LABELLED = 4_000
 ROUNDS = 5
 EACH_ROUND = 400  # least number of rows that a view labels in a round, half of each class
 SHARE = 1 / 80  # of all unlabelled rows, by class, view and round
 RIDGE = 3.0
-NEWTON = 20
+NEWTON = 30  # passes of a fit at most
+WORD_SLOTS = 1 << 13
+WORD_PRIOR = 4.0  # documents of either class that a word is taken to be in beforehand
 BINS = 250  # of a unit of logits
 SURE = 0.9
 CALIBRATION_FOLD = 4
@@ -50,9 +55,52 @@ for _column, _bytes in enumerate((b"#*$%&|<>", b"!?", b"0123456789", b".,;:", by
     _CLASSES[list(_bytes), _column] = 1
 
 
-def text_features(texts: pa.Array) -> np.ndarray:
+def word_slots(words: Words) -> np.ndarray:
+    return (words.hash & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by fold and label (``cell``), and those of them that hold a slot's words; slot -1 has all."""
+    for batch in sliced(batches, "text", 1 << 20):
+        words = Words(batch.column("text"))
+        text = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+        cell = batch.column("fold").to_numpy() * 2 + batch.column("label").to_numpy()
+        held = np.unique(text * WORD_SLOTS + word_slots(words))
+        keys, times = np.unique(cell[held // WORD_SLOTS] * WORD_SLOTS + held % WORD_SLOTS, return_counts=True)
+        every = np.bincount(cell, minlength=2 * FOLDS)
+        cells = np.concatenate((keys // WORD_SLOTS, np.arange(2 * FOLDS)))
+        slots = np.concatenate((keys % WORD_SLOTS, np.full(2 * FOLDS, -1)))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (cells, slots, np.concatenate((times, every)))], names=["cell", "slot", "docs"])
+
+
+def word_weights(counted) -> np.ndarray:
+    """Log-odds of good against bad for every slot, with each fold left out (fold 0 has all)."""
+    held, size = np.zeros((2 * FOLDS, WORD_SLOTS)), np.zeros(2 * FOLDS)
+    for cell, slot, docs in zip(counted["cell"], counted["slot"], counted["docs"]):
+        if slot < 0:
+            size[cell] = docs
+        else:
+            held[cell, slot] = docs
+    out = np.zeros((FOLDS, WORD_SLOTS))
+    for left in range(FOLDS):
+        folds = [f for f in range(1, FOLDS) if f != left]
+        bad, good = (held[[2 * f + c for f in folds]].sum(axis=0) for c in (0, 1))
+        n_bad, n_good = (size[[2 * f + c for f in folds]].sum() for c in (0, 1))
+        prior = WORD_PRIOR * (bad + good + 0.5) / (n_bad + n_good + 1)
+        out[left] = np.log((good + prior) / (n_good + WORD_PRIOR)) - np.log((bad + prior) / (n_bad + WORD_PRIOR))
+    return out
+
+
+def word_features(words: Words, weights: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Mean log-odds of a text's words, and the means of what speaks for either side."""
+    counts = np.diff(words.first)
+    own = weights[np.repeat(fold, counts), word_slots(words)]
+    per = lambda v: np.diff(np.concatenate(([0.0], np.cumsum(v)))[words.first]) / np.maximum(counts, 1)
+    return np.column_stack([per(own), per(np.maximum(own, 0)), per(np.minimum(own, 0))])
+
+
+def text_features(words: Words) -> np.ndarray:
     """Twelve measures of each text."""
-    words = Words(texts)
     counts = np.diff(words.first)
     least = np.maximum(counts, 1)
     per = lambda v: np.diff(np.concatenate(([0.0], np.cumsum(v)))[words.first])
@@ -109,13 +157,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gather(weights):
     """Both views of every row."""
-    kind = pa.list_(pa.float64())
-    for batch in sliced(batches, "text", 1 << 20):
-        views = text_features(batch.column("text")), metadata_features(batch)
-        own = [batch.column(c) for c in ("doc_id", "held_out", "fold")]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), kind) for v in views)], names=["doc_id", "held_out", "fold", "text", "metadata"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = weights.value
+        kind = pa.list_(pa.float64())
+        for batch in sliced(batches, "text", 1 << 20):
+            words = Words(batch.column("text"))
+            fold = np.nan_to_num(batch.column("fold").to_numpy(zero_copy_only=False)).astype(np.int64)
+            views = np.column_stack((text_features(words), word_features(words, table, fold))), metadata_features(batch)
+            own = [batch.column(c) for c in ("doc_id", "held_out", "fold")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), kind) for v in views)], names=["doc_id", "held_out", "fold", "text", "metadata"])
+
+    return run
 
 
 def views_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -192,10 +247,12 @@ def told_rows(history: list):
 
 
 def curvature(model: View, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Hessian and gradient of the log-loss at the model's weights."""
+    """Hessian, gradient and value of the log-loss at the model's weights."""
     x = np.column_stack((model.scaled(x), np.ones(len(x))))
-    p = sigmoid(np.clip(x @ model.w, -30, 30))
-    return np.concatenate((((x * (weight * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (weight * (p - y))))
+    z = x @ model.w
+    p = sigmoid(np.clip(z, -500, 500))
+    loss = weight @ (np.logaddexp(0, z) - y * z)
+    return np.concatenate((((x * (weight * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (weight * (p - y)), [loss]))
 
 
 def told_curvature(models: list[View]):
@@ -211,20 +268,33 @@ def told_curvature(models: list[View]):
 
 
 def refit(models: list[View], views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, told: DataFrame) -> None:
-    """Newton's method on the labelled rows (here) and the told rows (in the executors)."""
+    """Newton's method on the labelled rows (here) and the told rows (in the executors).
+
+    A pass measures both views at the weights on trial.  Where the loss has not fallen, half the
+    step is tried next, so neither view swings.
+    """
+    n = len(models)
+    kept, loss, step, size = [m.w for m in models], [np.inf] * n, [None] * n, [1.0] * n
     for _ in range(NEWTON):
         far, at, moved = summed(told, told_curvature(models)), 0, 0.0
-        for model, x in zip(models, views):
+        for i, (model, x) in enumerate(zip(models, views)):
             d = len(model.w)
             both = curvature(model, x, y, weight)
             if np.ndim(far):
-                both, at = both + far[at : at + d * (d + 1)], at + d * (d + 1)
+                both, at = both + far[at : at + len(both)], at + len(both)
             penalty = np.append(np.full(d - 1, RIDGE), 1e-6)
-            step = np.linalg.solve(both[: d * d].reshape(d, d) + np.diag(penalty), both[d * d :] + penalty * model.w)
-            model.w = model.w - np.clip(step, -5, 5)
-            moved = max(moved, float(np.abs(step).max()))
+            value = both[-1] + penalty @ model.w**2 / 2
+            if value <= loss[i]:
+                kept[i], loss[i], size[i] = model.w, value, 1.0
+                step[i] = np.linalg.solve(both[: d * d].reshape(d, d) + np.diag(penalty), both[d * d : -1] + penalty * model.w)
+            else:
+                size[i] /= 2
+            model.w = kept[i] - size[i] * step[i]
+            moved = max(moved, float(np.abs(size[i] * step[i]).max()))
         if moved < 1e-4:
-            return
+            break
+    for model, w in zip(models, kept):
+        model.w = w
 
 
 def co_train(views: list[np.ndarray], fold: np.ndarray, label: np.ndarray, sizes: dict[int, int], pool: DataFrame, shared: SharedTables):
@@ -263,16 +333,19 @@ def co_train(views: list[np.ndarray], fold: np.ndarray, label: np.ndarray, sizes
     return models, np.array(platt), logistic(calibrated, y, real[held], ridge=1.0)
 
 
-def train(rows: DataFrame, labels: DataFrame, target: str, shared: SharedTables):
-    """Co-training over ``rows``, the views of all documents."""
+def labelled_sample(labels: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
+    """All labelled documents, the bounded sample of those that train, and how many there are of each class."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     usable = known.where(fold_of() != 0)
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
     some = [usable.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for label in (0, 1)]
-    got = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("fold", "label", "text", "metadata").toPandas()
+    return known, some[0].unionByName(some[1]) if len(sizes) == 2 else None, sizes
+
+
+def train(rows: DataFrame, known: DataFrame, chosen: DataFrame, sizes: dict[int, int], shared: SharedTables):
+    """Co-training over ``rows``, the views of all documents."""
+    got = rows.join(F.broadcast(chosen), "doc_id").select("fold", "label", "text", "metadata").toPandas()
     if not {0, 1} <= set(got["label"]):
         return None
     pool = rows.where("doc_id is not null and fold <> 0").join(known, "doc_id", "left_anti").select("text", "metadata")
@@ -311,7 +384,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -
     rows = docs.select(*[F.col(c).cast(t).alias(c) for c, t in cast.items()])
     rows = rows.withColumns({"held_out": F.coalesce(fold_of() == 0, F.lit(False)), "fold": fold_of().cast("int")})
     shared = SharedTables(spark, "quality")
-    # the texts are read once; training and scoring read the views
-    rows = shared.write(rows.mapInArrow(gather, "doc_id long, held_out boolean, fold int, text array<double>, metadata array<double>"), "views")
-    model = spark.sparkContext.broadcast(train(rows, labels, target, shared))
+    known, chosen, sizes = labelled_sample(labels, target)
+    weights = np.zeros((FOLDS, WORD_SLOTS))
+    if chosen is not None:  # at most WORD_SLOTS rows for each fold and class come back
+        chosen = shared.write(chosen, "chosen")
+        counted = rows.join(F.broadcast(chosen), "doc_id").select("fold", "label", "text").mapInArrow(count_words, "cell long, slot long, docs long")
+        weights = word_weights(counted.groupBy("cell", "slot").agg(F.sum("docs").alias("docs")).toPandas())
+    # the views of all texts are made once; training and scoring read them
+    words = spark.sparkContext.broadcast(weights)
+    rows = shared.write(rows.mapInArrow(gather(words), "doc_id long, held_out boolean, fold int, text array<double>, metadata array<double>"), "views")
+    model = spark.sparkContext.broadcast(train(rows, known, chosen, sizes, shared) if chosen is not None else None)
+    shared.keep("views")
     return rows.mapInArrow(scorer(model), SCHEMA)
