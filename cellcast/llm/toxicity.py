@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds of toxic against clean documents under an informative Dirichlet prior,
-lowered by their standard error; every other token costs a little.  A linear-time scan finds all
-maximal scoring segments of a text, so every toxic passage is found and none twice.  Segment
+Every token scores its log-odds of toxic against clean documents under an informative Dirichlet
+prior, drawn towards zero by its standard error, less a small ``STEP``: evidence for either side
+counts, and a token that tells nothing costs ``STEP``.  A linear-time scan over the scores finds
+all maximal scoring segments of a text, so every toxic passage is found and none twice.  Segment
 scores follow an extreme-value law in clean text: ``lambda`` solves E[exp(lambda * s)] = 1 over
 clean tokens and ``K`` is fitted to the best segments of clean documents, which gives each passage
 an expected count E = K * n * exp(-lambda * S).  A logistic calibration of the extreme-value
@@ -10,12 +11,15 @@ scores, fitted out of fold, turns them into a probability.
 
 Training reads labelled rows only where crc32(doc_id as text) mod 5 is not 0, and of these a
 bounded sample (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, by the smallest hash of doc_id).  Neither
-labels, lang, source nor doc_id enter a score.
+labels, lang, source nor doc_id enter a score.  The lexicon has every token of the sample whose
+log-odds are not drawn to zero, however many there are; the sample bounds it.
 
 Defined results: a null or empty text has no tokens and gets the calibrated score of an empty
 text; repeated rows get equal scores; a null ``doc_id`` is never trained on nor held out; labels
 of one document that differ count as toxic; without labels of both classes every score is
-``PRIOR``; an empty table gives an empty table.
+``PRIOR``; an empty table gives an empty table.  A text of any length is scanned whole.  Scores
+have columns of their own; the stage that drops rows carries all columns of its input through,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,8 +39,7 @@ MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
 FOLDS = 5  # fold 0 is held out; folds 1 to 4 train
 PRIOR_DOCS = 500.0  # strength of the Dirichlet prior, in documents
 CAUTION = 1.64  # standard errors taken off a token's log-odds
-STEP = 0.05  # what a token outside the lexicon costs
-LEXICON = 50_000
+STEP = 0.05  # taken off every token's log-odds
 PRIOR = 0.1
 SIGNIFICANT = 1.0
 
@@ -53,15 +56,17 @@ def tokens(text: str | None) -> list[str]:
 def segments(hits: list[tuple[int, float]], step: float = STEP) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, as (first token, last token, score).
 
-    ``hits`` are the positions with a positive score, in order; all others cost ``step``.  Each
-    candidate keeps the running total before and after it, and which earlier candidate is the
+    ``hits`` are the positions with log-odds, in order; every position costs ``step`` besides.
+    Each candidate keeps the running total before and after it, and which earlier candidate is the
     nearest that started lower; a new hit follows these links, so each is passed over once.
     """
     found: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, link
     total, at = 0.0, 0
     for i, w in hits:
         before = total - step * (i - at)
-        total, at = before + w, i + 1
+        total, at = before + w - step, i + 1
+        if total <= before:
+            continue
         first = i
         j = len(found) - 1
         while True:
@@ -83,23 +88,33 @@ def features(n: int, parts: list[tuple[int, int, float]], decay: float, k: float
     return best, math.log1p(n), math.log1p(sum(decay * s for *_, s in parts if room - decay * s < math.log(SIGNIFICANT)))
 
 
-def log_odds(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Cautious log-odds; ``counts`` has a token's toxic and clean documents in its columns."""
-    share = np.maximum(counts.sum(axis=1), 0.5) / max(sizes.sum(), 1)
-    prior = PRIOR_DOCS * share
-    odds = [np.log((counts[:, c] + prior) / np.maximum(sizes[c] + PRIOR_DOCS - counts[:, c] - prior, 1e-3)) for c in (0, 1)]
-    error = np.sqrt(1 / (counts[:, 0] + prior) + 1 / (counts[:, 1] + prior))
-    return odds[0] - odds[1] - CAUTION * error
+def log_odds(toxic, clean, n_toxic: float, n_clean: float):
+    """Log-odds of a token (numbers of documents that hold it, as columns), drawn towards zero.
+
+    What is left is 0 where the odds are within ``CAUTION`` standard errors of even.
+    """
+    share = F.greatest(toxic + clean, F.lit(0.5)) / F.lit(max(n_toxic + n_clean, 1.0))
+    prior = F.lit(PRIOR_DOCS) * share
+
+    def odds(count, n: float):
+        return F.ln((count + prior) / F.greatest(F.lit(n + PRIOR_DOCS) - count - prior, F.lit(1e-3)))
+
+    apart = odds(toxic, n_toxic) - odds(clean, n_clean)
+    error = F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+    return F.signum(apart) * F.greatest(F.abs(apart) - CAUTION * error, F.lit(0.0))
 
 
 def decay_rate(weights: np.ndarray, rates: np.ndarray, step: float = STEP) -> float:
-    """The positive root of E[exp(x * s)] = 1 over clean tokens, by bisection."""
+    """The positive root of E[exp(x * s)] = 1 over clean tokens, by bisection.
+
+    ``rates`` are the shares of clean tokens that have the log-odds ``weights``; the rest has none.
+    """
     rest = max(0.0, 1 - rates.sum())
-    mean = float(rates @ weights) - rest * step
-    if not len(weights) or mean >= 0:
+    scores = weights - step
+    if not (scores > 0).any() or float(rates @ scores) - rest * step >= 0:
         return 0.05
     low, high = 1e-4, 1e-4
-    value = lambda x: float(rates @ np.exp(np.minimum(x * weights, 600))) + rest * math.exp(-x * step) - 1
+    value = lambda x: float(rates @ np.exp(np.minimum(x * scores, 600))) + rest * math.exp(-x * step) - 1
     while value(high) < 0 and high < 50:
         low, high = high, high * 2
     for _ in range(60):
@@ -201,24 +216,28 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     counted = rows.mapInArrow(count_tokens, "token string, cell long, docs long, times long").groupBy("token")
     cells = [F.sum(F.when(F.col("cell") == c, F.col(v)).otherwise(0)).alias(f"{v}{c}") for v in ("docs", "times") for c in range(2 * FOLDS)]
     table = counted.agg(*cells)
-    toxic = sum(F.col(f"docs{2 * f + 1}") for f in range(1, FOLDS))
-    clean = sum(F.col(f"docs{2 * f}") for f in range(1, FOLDS))
-    totals = table.where("token = ''").collect()
-    clean_times = table.where("token != ''").agg(*[F.sum(f"times{2 * f}").alias(str(f)) for f in range(1, FOLDS)]).first()
-    kept = table.where("token != ''").where(toxic >= 2).orderBy((toxic / (clean + 1)).desc(), toxic.desc(), "token").limit(LEXICON).toPandas()
-    lexicons, laws = [], []
+    table = shared.write(table, "tokens")
+    totals = table.where("token = ''").first()
     if not totals:
         return Model([{}] * FOLDS, [(1.0, 1.0)] * FOLDS, None)
-    n_docs = np.array([[totals[0][f"docs{2 * f + c}"] for c in (1, 0)] for f in range(FOLDS)], float)
+    others = [[f for f in range(1, FOLDS) if f != left] for left in range(FOLDS)]  # folds that train when one is left out
+    gathered = lambda what, c, folds: sum((F.col(f"{what}{2 * f + c}") for f in folds), F.lit(0))
+    size = lambda c, folds: float(sum(totals[f"docs{2 * f + c}"] for f in folds))
+    weights = F.array(*[log_odds(gathered("docs", 1, o), gathered("docs", 0, o), size(1, o), size(0, o)) for o in others])
+    times = F.array(*[gathered("times", 0, o).cast("double") for o in others])
+    words = table.where("token != ''").select("token", weights.alias("weights"), times.alias("times"))
+    clean_times = words.select(F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda i: F.get("times", i)).alias("t")).agg(*[F.sum(F.get("t", F.lit(i))).alias(str(i)) for i in range(FOLDS)]).first()
+    kept = words.where(F.exists("weights", lambda w: w != 0)).orderBy("token").toPandas()
+    shared.drop("tokens")
+    lexicons, laws = [], []
+    matrix = np.array(kept["weights"].to_list(), float).reshape(-1, FOLDS)
+    counts = np.array(kept["times"].to_list(), float).reshape(-1, FOLDS)
     for left in range(FOLDS):
-        folds = [f for f in range(1, FOLDS) if f != left]
-        counts = np.array([sum(kept[f"docs{2 * f + c}"] for f in folds) for c in (1, 0)], float).T
-        weight = log_odds(counts, n_docs[folds].sum(axis=0))
-        good = weight > 0
-        times = sum(kept[f"times{2 * f}"] for f in folds).to_numpy(float)[good]
-        every = max(1, sum(clean_times[str(f)] or 0 for f in folds))
-        lexicons.append(dict(zip(kept["token"][good], weight[good])))
-        laws.append((decay_rate(weight[good], (times + 0.5) / every), 1.0))
+        some = np.flatnonzero(matrix[:, left])
+        weight = matrix[some, left]
+        rates = (counts[some, left] + 0.5) / max(1.0, clean_times[str(left)] or 0.0)
+        lexicons.append(dict(zip(kept["token"].to_numpy()[some].tolist(), weight.tolist())))
+        laws.append((decay_rate(weight, rates), 1.0))
     model = Model(lexicons, laws, None)
     best = rows.mapInArrow(_out_of_fold(model), "fold int, label int, n long, scores array<double>").toPandas()
     for left in range(FOLDS):  # location of the extreme-value law over clean documents
@@ -273,8 +292,8 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
     """Score, verdict and significant passages (token ranges) of every row of ``docs``.
 
-    Training scans the table once for its bounded sample; scoring is a narrow map.  The lexicon
-    that is broadcast has at most ``LEXICON`` tokens for each of five folds.
+    Training scans the table once for its bounded sample; scoring is a narrow map.  The lexicons
+    that are broadcast have only tokens of that sample.
     """
     spark: SparkSession = tune(docs.sparkSession)
     texts = texts_of(docs)

@@ -53,7 +53,9 @@ def test_assignment_never_loses_tokens():
     rng = random.Random(5)
     for _ in range(30):
         lengths = [rng.choice((1, 2, 7, 100, 4096, 5000, rng.randint(1, 9000))) for _ in range(rng.randint(0, 60))]
-        got = list(packing.assign(lengths))
+        rooms = [4096] * (sum(lengths) // 4096) + packing.powers_of_two(sum(lengths) % 4096)
+        got, over = packing.assign([(d, 0, n) for d, n in enumerate(lengths)], rooms)
+        assert not over
         spans = sorted((d, s, n) for d, s, n, *_ in got)
         expected = Counter({d: n for d, n in enumerate(lengths)})
         found = Counter()
@@ -63,6 +65,47 @@ def test_assignment_never_loses_tokens():
         assert found == expected
 
 
+def test_packing_balances_costs():
+    """Costs lie closer than when falling pieces go to the first sequence with room; few pieces are cut."""
+    import random
+
+    rng = random.Random(8)
+    lengths = [rng.choice((rng.randint(1, 200), rng.randint(200, 1_500))) for _ in range(2_000)]
+    whole = sum(lengths) // 4096
+    got, over = packing.assign([(d, 0, n) for d, n in enumerate(lengths)], [4096] * whole)
+    assert sum(n for *_, n in over) == sum(lengths) % 4096 and len(got) < 1.25 * len(lengths)
+    spent, filled = [0.0] * whole, [0] * whole
+    for _, _, n, s, _ in got:
+        spent[s] += packing.cost(n)
+        filled[s] += n
+    assert set(filled) == {4096}
+    first, room = [0.0] * whole, [4096] * whole
+    for n in sorted(lengths, reverse=True):
+        s = next((k for k in range(whole) if room[k] >= n), None)
+        if s is not None:
+            first[s], room[s] = first[s] + packing.cost(n), room[s] - n
+    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)
+    assert spread(spent) < 0.5 * spread(first)
+    # brute force: a piece goes to the cheapest sequence that holds it
+    cost, room = [0.0] * 9, [4096] * 9
+    small = sorted((rng.randint(1, 900) for _ in range(30)), reverse=True)
+    for d, start, n, s, offset in packing.assign([(d, 0, n) for d, n in enumerate(small)], [4096] * 9)[0]:
+        best = min((cost[k], k) for k in range(9) if room[k] >= small[d])
+        assert (start, n, s, offset) == (0, small[d], best[1], 4096 - room[best[1]])
+        cost[s], room[s] = cost[s] + packing.cost(n), room[s] - n
+
+
+def test_rest_of_a_block_waits_for_the_next(spark):
+    rows = [(i, " ".join(["word"] * (i * 37 % 900)), "en", "s", 0, "c", "c") for i in range(150)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, DOC).coalesce(1), tokenizer_path(), block_tokens=9_000).collect()
+    filled = Counter()
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    short = sorted(n for n in filled.values() if n < 4096)
+    assert len(filled) > 10 and len(short) == len(set(short)) and all(n & (n - 1) == 0 for n in short)
+    assert sum(filled.values()) == sum(p.doc_tokens for p in pieces if p.start == 0)
+
+
 def test_quality_rules_equal_brute_force(spark):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.quality_rules(docs(spark)).collect()}
     for i, text in TEXTS:
@@ -93,6 +136,39 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
 
 
+def test_urls_equal_brute_force(spark):
+    """Host, path, rule and score by plain Python, over many odd addresses."""
+    import random
+
+    rng = random.Random(6)
+    parts = ["http://", "://", "", "example", ".", "net", "org", "com", "example.net", "/", "/en/", "/de/", "/fr/", "?q", "#f", "EN", "Ü", " ", "\n", "a", "sub."]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(600)] + [f"http://{s}{h}{p}" for s in ("", "x.", "x") for _, h, _ in url_filter.RULES for p in ("", "/", "/en/", "/de/x", "/fr", "/fr/")]
+    w = url_filter.weights()
+
+    def slots(host, path):
+        found = set()
+        for mark, text in ((b"h", host), (b"p", path)):
+            data = b"\x02" + text.lower().encode() + b"\x03"
+            for n in url_filter.GRAMS:
+                for i in range(len(data) - n + 1):
+                    h = zlib.crc32(mark) + n
+                    for c in data[i : i + n]:
+                        h = (h ^ c) * 0x100000001B3 % 2**64
+                    found.add((h ^ (h >> 29)) % url_filter.SLOTS)
+        return found
+
+    for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect():
+        _, there, rest = urls[r.page_id].partition("://")
+        host = re.match(r"[^/?#]*", rest if there else "")[0]
+        path = re.match(r"[^?#]*", rest[len(host) :] if there else "")[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if path.startswith(p) and (host == h or host.endswith("." + h))]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        z = sum(w[s] for s in slots(host, path)) / max(len(slots(host, path)), 1) ** 0.5 + w[-1]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and abs(r.score - 1 / (1 + 2.718281828459045**-z)) < 1e-9
+        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+
+
 def test_url_classifier_on_unseen_hosts():
     w = url_filter.weights()
     bad = ["free-casino-club.sample.edu", "www.cheap-viagra-store.example.org", "best-torrents.site.info", "casino-club.example.com"]
@@ -115,8 +191,8 @@ def test_segments_equal_definition():
 
     rng = random.Random(2)
     for _ in range(200):
-        scores = [rng.choice((-0.25, -0.25, -0.25, 0.4, 0.7, 1.3)) for _ in range(rng.randint(0, 14))]
-        hits = [(i, s) for i, s in enumerate(scores) if s > 0]
+        scores = [rng.choice((-0.25, -0.25, -0.25, -0.917, 0.413, 0.731, 1.309)) for _ in range(rng.randint(0, 14))]
+        hits = [(i, s + 0.25) for i, s in enumerate(scores) if s != -0.25]  # with and against
         got = toxicity.segments(hits, 0.25)
         assert [(a, b) for a, b, _ in got] == all_segments(scores)
         assert all(abs(s - sum(scores[a : b + 1])) < 1e-9 for a, b, s in got)
@@ -147,6 +223,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit.passages and hit.passages[0].end > hit.passages[0].start
 
 
+def test_toxicity_scores_equal_definition(spark):
+    """Log-odds, segments and scores by plain loops over every token and every pair of ends."""
+    import math
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(("vile", "dreg", "foul") if i % 3 == 0 and rng.random() < 0.3 else [f"w{k}" for k in range(40)] + ["kind"] * 6 * (i % 3 > 0)) for _ in range(rng.randint(3, 22)))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.texts_of(docs(spark, rows)), labels)
+    train = [(text.split(), i % 3 == 0) for i, text in rows if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(t == c for _, t in train) for c in (True, False)]
+    lexicon = {}
+    for token in {w for words, _ in train for w in words}:
+        held = [sum(token in words and t == c for words, t in train) for c in (True, False)]
+        prior = 500 * sum(held) / sum(n)
+        odds = [math.log((x + prior) / (m + 500 - x - prior)) for x, m in zip(held, n)]
+        error = math.sqrt(sum(1 / (x + prior) for x in held))
+        left = abs(odds[0] - odds[1]) - 1.64 * error
+        if left > 0:
+            lexicon[token] = math.copysign(left, odds[0] - odds[1])
+    assert any(w < 0 for w in lexicon.values()) and model.lexicons[0] == pytest.approx(lexicon)
+    decay, k = model.laws[0]
+    for _, text in rows[:60]:
+        words, parts = model.scan(text)
+        scores = [lexicon.get(w, 0.0) - toxicity.STEP for w in text.split()]
+        assert [(a, b) for a, b, _ in parts] == all_segments(scores)
+        sums = [sum(scores[a : b + 1]) for a, b, _ in parts]
+        sure = sum(decay * s for s in sums if math.log(k * len(words)) - decay * s < 0)
+        z = float(model.weights[:3] @ [max([decay * s for s in sums], default=0.0), math.log1p(len(words)), math.log1p(sure)] + model.weights[3])
+        assert model.score(len(words), parts) == pytest.approx(1 / (1 + math.exp(-z)))
+    twice = toxicity.score_toxicity(docs(spark, [*rows, *rows[:9]]), labels).collect()
+    assert all(len({r.score for r in twice if r.doc_id == i}) == 1 for i, _ in rows[:9])
+
+
 def test_toxicity_of_odd_tables(spark):
     table, labels, _ = corpus(spark, 200)
     odd = toxicity.score_toxicity(docs(spark).unionByName(table), labels).collect()
@@ -165,6 +275,78 @@ def test_quality_classifier(spark):
     assert quality_classifier.score_quality(docs(spark).unionByName(table), labels).count() == len(TEXTS) + 600
 
 
+def test_quality_equals_brute_force(spark):
+    """The rounds by plain arrays: all rows at once, fits from scratch, no executors."""
+    import numpy as np
+
+    q = quality_classifier
+    table, labels, marks = corpus(spark, 420)
+    some = labels.where("doc_id % 2 = 0")
+    shared = q.SharedTables(spark, "test")
+    got = {r.doc_id: r.score for r in q.score_quality(table, some).collect()}
+    ids = [m[0] for m in marks]
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])
+    label = np.array([m[1] if m[0] % 2 == 0 else -1 for m in marks])
+    texts = {r.doc_id: r for r in table.collect()}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([texts[i].asDict() for i in ids])
+    words = q.Words(batch.column("text"))
+    held = [{w for w in texts[i].text.split()} for i in ids]
+    slot_of = {}
+    for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+        slot_of |= dict(zip(texts[ids[i]].text.split(), q.word_slots(words)[a:b].tolist()))
+    content = []
+    for i in range(len(ids)):
+        others = [j for j in range(len(ids)) if fold[j] not in (0, fold[i]) and label[j] >= 0]
+        n = [sum(label[j] == c for j in others) for c in (0, 1)]
+        odds = {}
+        for slot in {slot_of[w] for w in held[i]}:
+            x = [sum(label[j] == c and any(slot_of[w] == slot for w in held[j]) for j in others) for c in (0, 1)]
+            prior = q.WORD_PRIOR * (sum(x) + 0.5) / (sum(n) + 1)
+            odds[slot] = np.log((x[1] + prior) / (n[1] + q.WORD_PRIOR)) - np.log((x[0] + prior) / (n[0] + q.WORD_PRIOR))
+        own = np.array([odds[slot_of[w]] for w in texts[ids[i]].text.split()])
+        content.append([own.mean(), np.maximum(own, 0).mean(), np.minimum(own, 0).mean()])
+    views = [np.column_stack((q.text_features(words), content)), q.metadata_features(batch)]
+    seen, pool = (fold != 0) & (label >= 0), (fold != 0) & (label < 0)
+    fits, last = seen & (fold != q.CALIBRATION_FOLD), seen & (fold == q.CALIBRATION_FOLD)
+    sizes = [(seen & (label == c)).sum() for c in (0, 1)]
+    real = np.ones(seen.sum())  # the sample has all labelled rows, so every row stands for itself
+    assert real.mean() == 1 and min(sizes) > 10
+    models = []
+    for x in views:
+        wide = q.View.wide(x[seen | pool])
+        models.append(q.View(wide.mean(axis=0), np.sqrt(np.maximum((wide**2).mean(axis=0) - wide.mean(axis=0) ** 2, 0))))
+        models[-1].fit(x[fits], label[fits].astype(float), np.ones(fits.sum()))
+    told = [np.full(pool.sum(), -1) for _ in views]
+    for _ in range(q.ROUNDS):
+        z = [np.rint(m.logit(x[pool]) * q.BINS) / q.BINS for m, x in zip(models, views)]
+        exact = [m.logit(x[pool]) for m, x in zip(models, views)]
+        before = [t.copy() for t in told]
+        for own in (0, 1):
+            free = np.sort(z[own][before[1 - own] < 0])
+            share = max(q.EACH_ROUND // 2, pool.sum() * q.SHARE)
+            least = np.log(q.SURE / (1 - q.SURE))
+            enough = len(free) >= share
+            rank = int(np.ceil(share)) - 1
+            good = max(free[::-1][rank] - 0.5 / q.BINS, least) if enough else least
+            bad = -max(-free[rank] - 0.5 / q.BINS, least) if enough else -least
+            fresh = told[1 - own] < 0
+            told[1 - own][fresh & (exact[own] >= good)] = 1
+            told[1 - own][fresh & (exact[own] <= bad)] = 0
+        for own, (m, x) in enumerate(zip(models, views)):
+            use = told[own] >= 0
+            rows_x, rows_y = np.concatenate((x[fits], x[pool][use])), np.concatenate((label[fits], told[own][use])).astype(float)
+            m.fit(rows_x, rows_y, np.concatenate((np.ones(fits.sum()), np.full(use.sum(), 0.5))))
+    z = [m.logit(x) for m, x in zip(models, views)]
+    y = label[last].astype(float)
+    platt = [toxicity.logistic(v[last][:, None], y, np.ones(last.sum()), ridge=0.1) for v in z]
+    both = np.column_stack([v * a + b for v, (a, b) in zip(z, platt)])
+    mixed = toxicity.logistic(both[last], y, np.ones(last.sum()), ridge=1.0)
+    expected = 1 / (1 + np.exp(-(both @ mixed[:2] + mixed[2])))
+    assert shared.names == set() and max(abs(got[i] - e) for i, e in zip(ids, expected)) < 0.01
+
+
 def test_quality_exchange_sees_every_unlabelled_row(spark, monkeypatch):
     table, labels, _ = corpus(spark)
     some = labels.where("doc_id % 3 = 0")
@@ -191,6 +373,38 @@ def test_pages(spark):
         assert r.n_chars == len(r.text) and (expected is None or r.text == expected), r
 
 
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</p>" * 20_000, "<a x='" * 30_000, "<a " * 30_000, "<!" * 30_000, "<a '>' " * 30_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<span>" * 20_000 + "<p></p>" * 20_000, "<table><tr><td>" * 10_000 + "<li>" * 10_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.parse(page[: len(page) // 8])
+    middle = time.time()
+    html_text.parse(page)
+    assert time.time() - middle < 1 + 24 * (middle - began)
+
+
+def test_page_text_equals_enumeration(spark):
+    """The text of small pages is that of the blocks whose node is content in most of the model's mass."""
+    import itertools
+    import math
+
+    model = html_text.trained()
+    pages = [p for p, _ in html_text.labelled_pages(400, seed=31) if len(html_text.parse(p)[0]) <= 11][:25] + ["<p>one<p>two", "<div><nav><a href=x>go</a></nav><p>text of it</p></div>"]
+    assert len(pages) > 12
+    rows = spark.createDataFrame([(i, None, p) for i, p in enumerate([*pages, *pages[:3]])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    for at, page in enumerate(pages):
+        nodes, blocks = html_text.parse(page)
+        unary = [sum(model.weights.get(f, 0.0) for f in found) for found in html_text.features(nodes)]
+        mass = [0.0] * len(nodes)
+        for y in itertools.product((0, 1), repeat=len(nodes)):
+            p = math.exp(sum(u * v for u, v in zip(unary, y)) / 1 + sum(model.tables[html_text.kind(n.tag)][y[n.parent]][v] for n, v in zip(nodes[1:], y[1:])) - 40)
+            mass = [m + (p if v else -p) for m, v in zip(mass, y)]
+        assert got[at] == "\n".join(line for node, line in blocks if mass[node] > 0)
+    assert [got[len(pages) + i] for i in range(3)] == [got[i] for i in range(3)]
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
