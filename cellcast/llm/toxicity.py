@@ -199,6 +199,10 @@ class Model:
         lexicon = self.lexicons[fold]
         return words, segments([(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon])
 
+    def for_scoring(self) -> Model:
+        """Without the lexicons that only the calibration needed."""
+        return Model(self.lexicons[:1], self.laws[:1], self.weights)
+
     def score(self, n: int, parts) -> float:
         if self.weights is None:
             return PRIOR
@@ -297,7 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") ->
     """
     spark: SparkSession = tune(docs.sparkSession)
     texts = texts_of(docs)
-    model = spark.sparkContext.broadcast(train(texts, labels, target))
+    model = spark.sparkContext.broadcast(train(texts, labels, target).for_scoring())
     held = texts.withColumn("held_out", F.coalesce(fold_of() == 0, F.lit(False)))
     return held.mapInArrow(scorer(model), SCHEMA)
 

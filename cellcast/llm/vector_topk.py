@@ -84,11 +84,13 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(width, 1)
     kind = np.int32 if bound < 1 << 31 else np.int64
     scores = np.zeros((len(queries), len(rows)), kind)
+    part = np.empty_like(scores)
     for term in range(width):
         weight, posting = queries[:, term].astype(kind), rows[:, term].astype(kind)
         holds, posted = np.flatnonzero(weight), np.flatnonzero(posting)
-        if len(holds) == len(queries) and len(posted) == len(rows):
-            scores += weight[:, None] * posting[None, :]
+        if 4 * len(holds) * len(posted) > scores.size:  # most pairs: the zeros add nothing
+            np.multiply(weight[:, None], posting[None, :], out=part)
+            scores += part
         elif len(holds) and len(posted):
             scores[np.ix_(holds, posted)] += weight[holds, None] * posting[None, posted]
     return scores
