@@ -16,8 +16,8 @@ from cellcast.llm.queries import table, tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    model = spark.sparkContext.broadcast(toxicity.train(toxicity.texts_of(docs), table(spark, sf_dir, "labels")))
-    return toxicity.clean_rows(docs, model)
+    model = toxicity.train(toxicity.texts_of(docs), table(spark, sf_dir, "labels")).for_scoring()
+    return toxicity.clean_rows(docs, spark.sparkContext.broadcast(model))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
