@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block, and blocks of an Arrow batch.
-BLOCK, BATCH = 4_096, 4
+BLOCK, BATCH = 16_384, 2
 ROWS_TO_DRIVER = 64
 
 SUMS = "gradient array<double>, loss double, count long"
