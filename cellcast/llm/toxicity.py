@@ -88,16 +88,18 @@ def features(n: int, parts: list[tuple[int, int, float]], decay: float, k: float
     return best, math.log1p(n), math.log1p(sum(decay * s for *_, s in parts if room - decay * s < math.log(SIGNIFICANT)))
 
 
-def log_odds(toxic, clean, n_toxic: float, n_clean: float):
+def log_odds(toxic, clean, n_toxic: float, n_clean: float, strength: float):
     """Log-odds of a token (numbers of documents that hold it, as columns), drawn towards zero.
 
-    What is left is 0 where the odds are within ``CAUTION`` standard errors of even.
+    ``n_toxic`` and ``n_clean`` are the sums of these numbers over all tokens, so that one class
+    having longer documents does not speak for it; ``strength`` is the prior's part of them.  What
+    is left is 0 where the odds are within ``CAUTION`` standard errors of even.
     """
     share = F.greatest(toxic + clean, F.lit(0.5)) / F.lit(max(n_toxic + n_clean, 1.0))
-    prior = F.lit(PRIOR_DOCS) * share
+    prior = F.lit(strength) * share
 
     def odds(count, n: float):
-        return F.ln((count + prior) / F.greatest(F.lit(n + PRIOR_DOCS) - count - prior, F.lit(1e-3)))
+        return F.ln((count + prior) / F.greatest(F.lit(n + strength) - count - prior, F.lit(1e-3)))
 
     apart = odds(toxic, n_toxic) - odds(clean, n_clean)
     error = F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
@@ -108,11 +110,12 @@ def decay_rate(weights: np.ndarray, rates: np.ndarray, step: float = STEP) -> fl
     """The positive root of E[exp(x * s)] = 1 over clean tokens, by bisection.
 
     ``rates`` are the shares of clean tokens that have the log-odds ``weights``; the rest has none.
+    Without a root it is 1, that of log-odds which are exact.
     """
     rest = max(0.0, 1 - rates.sum())
     scores = weights - step
     if not (scores > 0).any() or float(rates @ scores) - rest * step >= 0:
-        return 0.05
+        return 1.0
     low, high = 1e-4, 1e-4
     value = lambda x: float(rates @ np.exp(np.minimum(x * scores, 600))) + rest * math.exp(-x * step) - 1
     while value(high) < 0 and high < 50:
@@ -173,12 +176,17 @@ def sample(docs: DataFrame, labels: DataFrame, target: str) -> tuple[DataFrame,
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each slice that hold a token, by fold and label; and all tokens they have."""
+    """Documents of each slice that hold a token, by fold and label, and how often they do.
+
+    The empty token stands for all: the documents, and the sum of their distinct tokens.
+    """
     for batch in sliced(batches, "text", 1 << 20):
         held: dict[tuple[str, int], list[int]] = {}
         for fold, label, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "label", "text"))):
             words = tokens(text)
-            held.setdefault(("", fold * 2 + label), [0, 0])[0] += 1
+            every = held.setdefault(("", fold * 2 + label), [0, 0])
+            every[0] += 1
+            every[1] += len(set(words))
             for word in words:
                 held.setdefault((word, fold * 2 + label), [0, 0])[1] += 1
             for word in set(words):
@@ -226,8 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
         return Model([{}] * FOLDS, [(1.0, 1.0)] * FOLDS, None)
     others = [[f for f in range(1, FOLDS) if f != left] for left in range(FOLDS)]  # folds that train when one is left out
     gathered = lambda what, c, folds: sum((F.col(f"{what}{2 * f + c}") for f in folds), F.lit(0))
-    size = lambda c, folds: float(sum(totals[f"docs{2 * f + c}"] for f in folds))
-    weights = F.array(*[log_odds(gathered("docs", 1, o), gathered("docs", 0, o), size(1, o), size(0, o)) for o in others])
+    size = lambda what, folds, classes=(0, 1): float(sum(totals[f"{what}{2 * f + c}"] for f in folds for c in classes))
+    strength = lambda o: PRIOR_DOCS * size("times", o) / max(size("docs", o), 1.0)
+    weights = F.array(*[log_odds(gathered("docs", 1, o), gathered("docs", 0, o), size("times", o, (1,)), size("times", o, (0,)), strength(o)) for o in others])
     times = F.array(*[gathered("times", 0, o).cast("double") for o in others])
     words = table.where("token != ''").select("token", weights.alias("weights"), times.alias("times"))
     clean_times = words.select(F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda i: F.get("times", i)).alias("t")).agg(*[F.sum(F.get("t", F.lit(i))).alias(str(i)) for i in range(FOLDS)]).first()

@@ -233,12 +233,13 @@ def test_toxicity_scores_equal_definition(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.train(toxicity.texts_of(docs(spark, rows)), labels)
     train = [(text.split(), i % 3 == 0) for i, text in rows if zlib.crc32(str(i).encode()) % 5]
-    n = [sum(t == c for _, t in train) for c in (True, False)]
+    n = [sum(len(set(words)) for words, t in train if t == c) for c in (True, False)]
+    strength = 500 * sum(n) / len(train)
     lexicon = {}
     for token in {w for words, _ in train for w in words}:
         held = [sum(token in words and t == c for words, t in train) for c in (True, False)]
-        prior = 500 * sum(held) / sum(n)
-        odds = [math.log((x + prior) / (m + 500 - x - prior)) for x, m in zip(held, n)]
+        prior = strength * sum(held) / sum(n)
+        odds = [math.log((x + prior) / (m + strength - x - prior)) for x, m in zip(held, n)]
         error = math.sqrt(sum(1 / (x + prior) for x in held))
         left = abs(odds[0] - odds[1]) - 1.64 * error
         if left > 0:
@@ -257,6 +258,18 @@ def test_toxicity_scores_equal_definition(spark):
     assert all(len({r.score for r in twice if r.doc_id == i}) == 1 for i, _ in rows[:9])
 
 
+def test_long_toxic_documents_do_not_make_common_words_toxic(spark):
+    import random
+
+    rng = random.Random(21)
+    rows = [(i, " ".join([rng.choice([f"c{k}" for k in range(25)] + [f"r{rng.randrange(900)}"]) for _ in range(rng.randint(60, 120) if i % 3 == 0 else rng.randint(5, 30))] + ["vile", "dreg"] * (i % 3 == 0))) for i in range(900)]
+    model = toxicity.train(toxicity.texts_of(docs(spark, rows)), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert max(model.lexicons[0].get(f"c{k}", 0.0) for k in range(25)) < 0.5 < model.lexicons[0]["vile"]
+    assert model.laws[0][0] > 0.3
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((model.score(*(lambda w, p: (len(w), p))(*model.scan(t))) >= 0.5) == (i % 3 == 0) for i, t in held) >= 0.97 * len(held)
+
+
 def test_toxicity_of_odd_tables(spark):
     table, labels, _ = corpus(spark, 200)
     odd = toxicity.score_toxicity(docs(spark).unionByName(table), labels).collect()
