@@ -26,7 +26,8 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,62 +40,78 @@ SEQUENCE = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 BLOCK_TOKENS = 1 << 21
-#: Pieces whose ids a worker remembers in each of two generations.
+#: Runs, and pieces of runs, whose ids a worker remembers in each of two generations.
 CACHE_PIECES = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Pieces(dict):
-    """Ids (little-endian unsigned 32-bit) of what the tokenizer's splitter yields.
+class _Kept(dict):
+    """What ``make`` gives for a key, remembered in two generations.
 
-    Two generations: when the young one is full it becomes the old one, and what is asked for
-    again moves back, so frequent pieces stay and memory is bounded.
+    When the young one is full it becomes the old one, and what is asked for again moves back, so
+    frequent keys stay and memory is bounded.
     """
 
-    def __init__(self, model):
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(visible)]
-        self.model = model
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
         self.old: dict[str, bytes] = {}
-        self.table = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
         if out is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
-            out = array("I", [t.id for t in tokens]).tobytes()
+            out = self.make(key)
         if len(self) >= CACHE_PIECES:
             self.old = dict(self)
             self.clear()
-        self[piece] = out
+        self[key] = out
         return out
 
 
 class WordIds:
-    """Token ids of whole texts, equal to the tokenizer's, by remembering those of pieces.
+    """Token ids (little-endian unsigned 32-bit) of whole texts, equal to the tokenizer's.
 
-    The vocabulary's splitter cuts a text into runs of letters, single digits, runs of other
-    characters and a few contractions, and each piece is encoded by itself.  Texts of ASCII and
-    Latin letters, where the splitter needs no Unicode tables, are cut here; any other text, and
-    any that is not in normal form C, goes through the tokenizer as it is.
+    The vocabulary's splitter drops white space and cuts what is between into runs of letters,
+    single digits, runs of other characters and a few contractions; each piece is encoded by
+    itself, so the ids of a run without white space are remembered, and those of its pieces.  Texts
+    of ASCII and Latin letters, where the splitter needs no Unicode tables, are cut here; any other
+    text, and any that is not in normal form C, goes through the tokenizer as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        self.table = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.tokenizer.model)
         self.foreign = re.compile(r"[^\t\n\r -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]").search
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+        self.pieces = _Kept(self._piece)
+        self.runs = _Kept(self._run)
+
+    def _piece(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        tokens = self.model.tokenize(seen)
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        return self._piece(run) if run.isalpha() else b"".join(map(self.pieces.__getitem__, self.split(run)))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.foreign(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.runs.__getitem__, text.lower().split()))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker: tasks that follow in it find what is remembered."""
+    return WordIds(path)
 
 
 def cost(n: int) -> float:
@@ -186,7 +203,7 @@ def powers_of_two(n: int) -> list[int]:
 
 def packer(tokenizer_path: str, size: int, block_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         docs: list[tuple[int | None, bytes]] = []  # of the pieces that wait
