@@ -27,21 +27,20 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cellcast.llm.common import sliced, tune
+from cellcast.llm.common import return_freed_memory, sliced, tune
 
 SEQUENCE = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 BLOCK_TOKENS = 1 << 21
 #: Runs, and pieces of runs, whose ids a worker remembers in each of two generations.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,6 +99,11 @@ class WordIds:
     def _run(self, run: str) -> bytes:
         return self._piece(run) if run.isalpha() else b"".join(map(self.pieces.__getitem__, self.split(run)))
 
+    def forget(self) -> None:
+        for kept in (self.pieces, self.runs):
+            kept.clear()
+            kept.old = {}
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -108,12 +112,6 @@ class WordIds:
         return b"".join(map(self.runs.__getitem__, text.lower().split()))
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for each worker: tasks that follow in it find what is remembered."""
-    return WordIds(path)
-
-
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
@@ -203,7 +201,7 @@ def powers_of_two(n: int) -> list[int]:
 
 def packer(tokenizer_path: str, size: int, block_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
+        words = WordIds(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         docs: list[tuple[int | None, bytes]] = []  # of the pieces that wait
@@ -231,6 +229,8 @@ def packer(tokenizer_path: str, size: int, block_tokens: int):
                     yield flush(False)
         if held:
             yield flush(True)
+        words.forget()
+        return_freed_memory()
 
     return pack
 
