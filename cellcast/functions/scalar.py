@@ -29,8 +29,8 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def round4(value: Column) -> Column:
-    """Four decimals, halves away from zero."""
-    return F.signum(value) * F.floor(F.abs(value) * 10000 + 0.5) / 10000
+    """Four decimals, halves away from zero; infinity and NaN stay what they are."""
+    return F.when(F.abs(value) < float("inf"), F.signum(value) * F.floor(F.abs(value) * 10000 + 0.5) / 10000).otherwise(value)
 
 
 def sigmoid(z: Column) -> Column:
@@ -39,9 +39,12 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
 
 
-def log_loss(label: Column, p: Column) -> Column:
-    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
-    return -(label * F.ln(p) + (1 - label) * F.ln(1 - p))
+def log_loss(label: Column, p: Column, bounded: bool = True) -> Column:
+    """Loss of a score, kept off 0 and 1; without that bound, scores of 0 and 1 give infinity or NaN."""
+    if bounded:
+        p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    ln = F.ln if bounded else lambda x: F.when(x == 0, float("-inf")).otherwise(F.ln(x))  # Spark's ln(0) is null, which an average skips
+    return -(label * ln(p) + (1 - label) * ln(1 - p))
 
 
 def probability(weights: list[float], features: list[Column]) -> Column:

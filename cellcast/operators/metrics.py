@@ -11,12 +11,15 @@ from cellcast.functions.scalar import log_loss, round4, safe_ratio
 BUCKETS = 10_000
 
 
-def confusion(scored: DataFrame) -> DataFrame:
-    """One row: counts at threshold 0.5, ratios and mean log-loss, rounded to four places."""
+def confusion(scored: DataFrame, bounded: bool = True) -> DataFrame:
+    """One row: counts at threshold 0.5, ratios and mean log-loss, rounded to four places.
+
+    ``bounded`` keeps scores off 0 and 1 in the loss; without, one such score makes it infinite or NaN.
+    """
     yes, hit = F.col("label") >= 0.5, F.col("score") >= 0.5
     counts = scored.agg(
         F.count("*").alias("samples"), F.count_if(yes).alias("positives"), F.count_if(yes & hit).alias("tp"), F.count_if(~yes & ~hit).alias("tn"),
-        F.count_if(~yes & hit).alias("fp"), F.count_if(yes & ~hit).alias("fn"), F.avg(log_loss(F.col("label"), F.col("score"))).alias("loss"),
+        F.count_if(~yes & hit).alias("fp"), F.count_if(yes & ~hit).alias("fn"), F.avg(log_loss(F.col("label"), F.col("score"), bounded)).alias("loss"),
     )
     d = lambda c: F.col(c).cast("double")
     ratios = counts.withColumns({"p": safe_ratio(d("tp"), d("tp") + d("fp")), "r": safe_ratio(d("tp"), d("tp") + d("fn"))})
@@ -43,8 +46,8 @@ def auc(scored: DataFrame) -> DataFrame:
     return total.select(F.coalesce(both, F.lit(0.0)).alias("auc")).select("auc", (2 * F.col("auc") - 1).alias("gini"))
 
 
-def evaluate(scored: DataFrame) -> DataFrame:
-    """All fourteen metrics in one row."""
+def evaluate(scored: DataFrame, bounded: bool = True) -> DataFrame:
+    """All fourteen metrics in one row; ``bounded`` as in ``confusion``."""
     ranked = auc(scored).select(round4(F.col("auc")).alias("auc"), round4(F.col("gini")).alias("gini"))
-    both = confusion(scored).join(ranked)
+    both = confusion(scored, bounded).join(ranked)
     return both.select("accuracy", "precision", "recall", "f1", "auc", "gini", "log_loss", "samples", "positives", "negatives", "tp", "tn", "fp", "fn")

@@ -39,3 +39,27 @@ def test_entry_without_optional_parts():
 
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1.0, 0.3), (0.0, 0.2), (1.0, 0.7)],
+        [(1.0, 0.0), (0.0, 0.2), (1.0, 0.7)],  # infinite
+        [(1.0, 0.3), (0.0, 1.0), (1.0, 0.7)],
+        [(1.0, 0.3), (0.0, 0.0), (1.0, 0.7)],  # NaN
+        [(1.0, 1.0), (0.0, 0.2), (0.0, 0.7)],
+        [(1.0, 0.0), (0.0, 0.0), (1.0, 0.7)],
+    ],
+)
+def test_evaluation_of_scores_rounded_to_0_or_1(spark, monkeypatch, rows):
+    """The SQL has no bound on scores in its loss; all but its scored rows is run here."""
+    from cellcast.plans import serving_queries
+
+    monkeypatch.setattr(serving_queries, "scored", lambda spark, d: spark.createDataFrame(rows, "label double, score double"))
+    got = catalog.QUERIES["evaluate_scores"](spark, SF).first().asDict()
+    sql = catalog.SQL["evaluate_scores"]
+    assert sql.startswith(catalog._SCORED_SQL)
+    values = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in rows)
+    found = duckdb.sql(f"WITH scored AS (SELECT * FROM (VALUES {values}) AS v(label, score)){sql.removeprefix(catalog._SCORED_SQL)}")
+    assert {k: repr(float(v)) for k, v in got.items()} == {k: repr(float(v)) for k, v in zip(found.columns, found.fetchall()[0])}
